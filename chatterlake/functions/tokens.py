@@ -57,10 +57,10 @@ def cloud_word(token: Column | str) -> Column:
     three letters; mixed tokens keep their case.
     """
     t = col(token)
+    # anchored patterns stop at the first character that does not fit
     return (
-        F.when(F.length(t) < 2, None)
-        .when(~t.rlike("[^0-9]"), None)
-        .when(t.rlike("[^A-Za-z]"), t)
+        F.when((F.length(t) < 2) | t.rlike("^[0-9]+$"), None)
+        .when(~t.rlike("^[A-Za-z]+$"), t)
         .when(F.length(t) > 2, F.lower(t))
     )
 

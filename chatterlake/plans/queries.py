@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chatterlake.functions import fixed_values as fv
@@ -433,7 +433,7 @@ def window_cooccurrence(spark, sf_dir):
 def _frequent_by_lang(texts: DataFrame) -> DataFrame:
     counted = texts.select("lang", F.explode("tokens").alias("word")).groupBy("lang", "word").count()
     best = F.row_number().over(
-        cooccurrence.Window.partitionBy("lang").orderBy(F.desc("count"), F.asc("word"))
+        Window.partitionBy("lang").orderBy(F.desc("count"), F.asc("word"))
     )
     ranked = counted.withColumn("rank", best).where(F.col("rank") <= LIST_SIZE)
     return ranked.select(F.col("lang").alias("topic"), "word")
@@ -448,7 +448,7 @@ def coherence_by_lang(spark, sf_dir):
 
 
 SWEEP_COUNTS = (3, 5, 8)
-SWEEP_PASSES = 2
+SWEEP_PASSES = 1
 
 
 @query
