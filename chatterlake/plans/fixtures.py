@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chatterlake.sources.tables import spread
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -53,6 +55,8 @@ COLUMNS = ("post_id", "content", "lang", "source", "posted_at", "sentiment", "sc
 def posts(spark: SparkSession, sf_dir: str, columns: Sequence[str] = COLUMNS) -> DataFrame:
     """Posts with the wanted columns; the labels are only joined when a column needs them."""
     docs = table(spark, sf_dir, "documents")
+    if "content" in columns:
+        docs = spread(docs)
     if {"sentiment", "score"} & set(columns):
         labels = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "label_id")
         docs = docs.join(labels, docs.doc_id == labels.label_id, "left")

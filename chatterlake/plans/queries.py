@@ -456,29 +456,25 @@ def topic_sweep(spark, sf_dir):
     return topics.sweep(_topic_texts(spark, sf_dir), SWEEP_COUNTS, SWEEP_PASSES)
 
 
-def _fitted(spark, sf_dir, k: int = 5):
-    texts = _topic_texts(spark, sf_dir).select("tokens")
-    vectors = topics.vectorizer(texts)
-    features = vectors.transform(texts).select("features")
-    model = topics.fit(features, features.count(), k, passes=SWEEP_PASSES)
-    return texts, features, topics.vocabulary_table(vectors, spark), model
+def _model(shared: topics.Corpus, k: int = 5):
+    return topics.fit(shared.features, shared.n_texts, k, passes=SWEEP_PASSES)
 
 
 @query
 def topic_words(spark, sf_dir):
-    _, _, vocabulary_words, model = _fitted(spark, sf_dir)
-    return topics.top_topic_words(model, vocabulary_words)
+    with topics.corpus(_topic_texts(spark, sf_dir)) as shared:
+        return topics.top_topic_words(_model(shared), shared.words)
 
 
 @query
 def topic_coherence(spark, sf_dir):
-    texts, _, vocabulary_words, model = _fitted(spark, sf_dir)
-    top = topics.top_topic_words(model, vocabulary_words, fv.COHERENCE_TOP_WORDS)
-    return cooccurrence.coherence(texts, F.col("tokens"), top)
+    with topics.corpus(_topic_texts(spark, sf_dir)) as shared:
+        top = topics.top_topic_words(_model(shared), shared.words, fv.COHERENCE_TOP_WORDS)
+        return cooccurrence.coherence(shared.texts, F.col("tokens"), top)
 
 
 @query
 def topic_relevance(spark, sf_dir):
-    _, features, vocabulary_words, model = _fitted(spark, sf_dir)
-    shares = topics.topic_shares(model, features)
-    return topics.topic_terms(model, vocabulary_words, shares)
+    with topics.corpus(_topic_texts(spark, sf_dir)) as shared:
+        model = _model(shared)
+        return topics.topic_terms(model, shared.words, topics.topic_shares(model, shared.features))

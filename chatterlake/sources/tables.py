@@ -14,6 +14,16 @@ def read_table(spark: SparkSession, path: str, form: str = "parquet", **options)
     return spark.read.options(**options).format(form).load(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan in at least as many pieces as there are cores, for work that is heavy per row.
+
+    Only a table of few small files is moved for it; a large one has more pieces than cores and is
+    returned as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether the path exists, on whatever file system it names."""
     jvm = spark.sparkContext._jvm
