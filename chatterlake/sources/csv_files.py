@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,14 +14,18 @@ from chatterlake.sources.tables import null_literals, require_columns
 LEGACY = "GB18030"  # contains GBK and GB2312
 
 
-def not_utf8_files(spark: SparkSession, path: str) -> list[str]:
-    """Files with a line that is not valid UTF-8.
+def files_by_encoding(spark: SparkSession, path: str) -> dict[bool, list[str]]:
+    """The files under ``path``, by whether all their lines are valid UTF-8.
 
     The text reader hands over raw bytes and a line break is never part of a longer character in
     these encodings, so files of any size are checked in parallel, line by line.
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
-    return [r.file for r in lines.where(~F.is_valid_utf8("value")).select("file").distinct().collect()]
+    checked = lines.groupBy("file").agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"))
+    files: dict[bool, list[str]] = {True: [], False: []}
+    for row in checked.collect():
+        files[row.utf8].append(unquote(row.file))
+    return files
 
 
 def read_csv(
@@ -41,16 +46,15 @@ def read_csv(
         reader = spark.read.options(header=True, multiLine=multi_line, escape='"', encoding=charset)
         return (reader.schema(schema) if schema else reader.options(inferSchema=True)).csv(paths)
 
-    legacy = [] if encoding else not_utf8_files(spark, path)
-    if encoding not in (None, "UTF-8") or legacy:
+    files = {True: [path], False: []} if encoding else files_by_encoding(spark, path)
+    if encoding not in (None, "UTF-8") or files[False]:
         # Spark 4 reads only a short list of charsets unless told otherwise
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    if encoding or not legacy:
+    if not files[False]:
         df = read([path], encoding or "UTF-8")
     else:
-        others = sorted(set(spark.read.text(path).inputFiles()) - set(legacy))
-        df = read(sorted(legacy), LEGACY)
-        if others:
-            df = read(others, "UTF-8").unionByName(df)
+        df = read(files[False], LEGACY)
+        if files[True]:
+            df = read(files[True], "UTF-8").unionByName(df)
     df = null_literals(df)
     return require_columns(df, columns) if columns else df
