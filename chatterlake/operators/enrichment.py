@@ -74,11 +74,15 @@ def distinct_texts(rows: DataFrame) -> DataFrame:
     return counted.select(F.md5("request").alias("request_key"), "request", "n_rows")
 
 
-def stored_answers(spark, path: str) -> DataFrame:
-    """One answer per key: the earliest, should two runs have asked for the same text."""
+def stored_answers(path: str, wanted: DataFrame) -> DataFrame:
+    """The stored answers to the wanted requests, one per key: the earliest, should two runs have
+    asked for the same text.
+
+    Only wanted ones reach the aggregation, so a small batch does not pay for a long history.
+    """
     rest = ["reply", "error_type", "error_message"]
     first = F.min_by(F.struct(*rest), "answered_at").alias("first")
-    stored = spark.read.parquet(path)
+    stored = wanted.sparkSession.read.parquet(path).join(wanted.select("request_key"), "request_key", "left_semi")
     return stored.groupBy("request_key").agg(first).select("request_key", "first.*")
 
 
@@ -92,7 +96,7 @@ def answer_all(requests: DataFrame, call: Call, path: str, parallel: int = 8, wa
     spark = requests.sparkSession
     fresh = requests
     if path_exists(spark, path):
-        known = spark.read.parquet(path).select("request_key").distinct()
+        known = spark.read.parquet(path).select("request_key")
         fresh = fresh.join(known, "request_key", "left_anti")
 
     def store(open_requests: DataFrame) -> None:
@@ -109,7 +113,7 @@ def answer_all(requests: DataFrame, call: Call, path: str, parallel: int = 8, wa
         queued = spark.read.schema("request_key string, request string, n_rows long, wave int").parquet(queue)
         for number in range(waves):
             store(queued.where(F.col("wave") == number))
-    return stored_answers(spark, path)
+    return stored_answers(path, requests)
 
 
 def answers_for(
@@ -170,8 +174,12 @@ def score_rows(
     parallel: int = 8,
     waves: int = 1,
     rows_per_salt: int = ROWS_PER_SALT,
+    read: Callable[[str], Column] = F.col,
 ) -> DataFrame:
-    """Label and score for every pending row; rows that have both are returned as they are."""
+    """Label and score for every pending row; rows that have both are returned as they are.
+
+    ``read`` takes the reply text from what the model returns: ``replies.reply_text`` for JSON.
+    """
     df = with_result_columns(df)
     remote = scale == "remote"
     needs_call = is_pending() & ~is_blank(text) if remote else is_pending()
@@ -179,6 +187,7 @@ def score_rows(
     to_ask = df.where(needs_call).withColumn("request", request)
     rest = df.where(~needs_call)
     answered = answers_for(to_ask, source, row_key, path, parallel, waves, rows_per_salt)
+    answered = answered.withColumn("reply", read("reply"))
     done = scored(answered, text, scale).select(*df.columns)
     if remote:
         no_reply = rest.withColumn("reply", F.lit(None).cast("string"))
@@ -197,15 +206,20 @@ def translate_rows(
     parallel: int = 4,
     waves: int = 1,
     rows_per_salt: int = ROWS_PER_SALT,
+    read: Callable[[str], Column] = strip,
 ) -> DataFrame:
-    """Fills ``target``; adds ``failed``.  Rows that need no request are filled by their route."""
+    """Fills ``target``; adds ``failed``.  Rows that need no request are filled by their route.
+
+    ``read`` takes the translation from what the model returns: ``replies.reply_text`` or, in the
+    serial form, ``replies.first_choice_text`` for JSON.
+    """
     columns = [*dict.fromkeys([*df.columns, target])]
     rows = routed(df, text, target, copy_chinese=form == "concurrent")
     to_send = rows.where(F.col("route") == SEND).withColumn("request", strip(text))
     answered = answers_for(to_send, source, row_key, path, parallel, waves, rows_per_salt)
     translated: Column = F.when(
         F.col("error_type").isNotNull(), failed_marker("error_type", "error_message", form)
-    ).otherwise(F.coalesce(strip("reply"), F.lit("")))
+    ).otherwise(F.coalesce(read("reply"), F.lit("")))
     sent = answered.withColumn(target, translated).withColumn("failed", F.col("error_type").isNotNull())
     rest = rows.where(F.col("route") != SEND).withColumn("failed", F.lit(False))
     return sent.select(*columns, "failed").unionByName(rest.select(*columns, "failed"))

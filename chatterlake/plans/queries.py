@@ -442,8 +442,8 @@ def _frequent_by_lang(texts: DataFrame) -> DataFrame:
 @query
 def coherence_by_lang(spark, sf_dir):
     """c_v of the most frequent words of each language: the measure without a model, so exact."""
-    texts = _topic_texts(spark, sf_dir, "lang")
-    scores = cooccurrence.coherence(texts, F.col("tokens"), _frequent_by_lang(texts))
+    with topics.kept(_topic_texts(spark, sf_dir, "lang")) as texts:
+        scores = cooccurrence.coherence(texts, F.col("tokens"), _frequent_by_lang(texts))
     return scores.select("topic", F.round("coherence", 6).alias("coherence"))
 
 

@@ -16,12 +16,16 @@ from chatterlake.sources.tables import path_exists
 BOM = "\ufeff"
 
 
-def write_csv(df: DataFrame, path: str, bom: bool = True, mode: str = "errorifexists") -> None:
+def write_csv(
+    df: DataFrame, path: str, bom: bool = True, mode: str = "errorifexists", order: str | None = None
+) -> None:
     """CSV with a header row; with ``bom`` each part starts with the UTF-8 byte order mark.
 
     The mark is the first character of the first column's name, so spreadsheets see it in front of
-    the header and Spark drops it again on reading.
+    the header and Spark drops it again on reading.  With ``order`` the parts follow each other in
+    the order of that column; the sort is made here only, not by the steps before.
     """
+    df = df.orderBy(order) if order else df
     first, *rest = df.columns
     out = df.withColumnRenamed(first, BOM + first) if bom else df
     out.write.mode(mode).options(header=True, escape='"', encoding="UTF-8").csv(path)

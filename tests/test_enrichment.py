@@ -220,3 +220,20 @@ def test_stream_scores_only_what_is_new(spark, tmp_path, hot_posts):
     done = spark.read.parquet(out)
     assert done.count() == 600 and done.select("post_id").distinct().count() == 600
     assert asked(log) == sorted({c or "" for _, c in rows(hot_posts, "post_id")})
+
+
+def test_json_replies(spark):
+    from chatterlake.functions import replies
+
+    df = spark.createDataFrame([(1, "hello"), (2, "x")], "id long, comment string")
+
+    def call(texts):
+        return ['{"message":{"content":" %s! "}}' % t if t == "hello" else None for t in texts]
+
+    got = enrichment.translate_rows(df, "comment", "t", call, "id", read=replies.reply_text)
+    assert rows(got.select("id", "t", "failed"), "id") == [(1, "hello!", False), (2, "", False)]
+    scored = enrichment.score_rows(
+        df, "comment", lambda ts: ['{"choices":[{"message":{"content":"positive,0.90"}}]}'] * len(ts), "id",
+        read=replies.reply_text,
+    )
+    assert rows(scored.select("sentiment", "score"), "score") == [("positive", 0.9)] * 2

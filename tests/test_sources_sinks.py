@@ -161,3 +161,12 @@ def test_dictionary_segmentation_is_the_same_in_all_three_ways(spark):
         for row in got:
             want = None if row.c is None else by_hand(row.c, [w for w in dictionary if w >= "一"])
             assert row.tokens == want, (way, row.c)
+
+
+def test_csv_sink_in_row_order(spark, tmp_path):
+    df = spark.range(100).repartition(7).select(F.col("id"), F.lit("x").alias("c"))
+    path = str(tmp_path / "ordered")
+    files.write_csv(df, path, order="id")
+    lines = [line for part in sorted(glob.glob(f"{path}/part-*")) for line in open(part, encoding="utf-8-sig")]
+    ids = [int(line.split(",")[0]) for line in lines if not line.startswith("id")]
+    assert ids == list(range(100))
