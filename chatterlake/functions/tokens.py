@@ -109,4 +109,4 @@ def bag(tokens: Column) -> Column:
             ),
         )
 
-    return let(F.array_sort(tokens), runs)
+    return let(F.sort_array(tokens), runs)

@@ -116,19 +116,21 @@ def answer_all(requests: DataFrame, call: Call, path: str, parallel: int = 8, wa
     return stored_answers(path, requests)
 
 
-def answers_for(
+def with_answers(
     rows: DataFrame,
     source: Answers,
+    results: dict[str, Column],
     row_key: str,
     path: str | None = None,
     parallel: int = 8,
     waves: int = 1,
     rows_per_salt: int = ROWS_PER_SALT,
 ) -> DataFrame:
-    """rows with a ``request`` column, plus reply, error_type, error_message.
+    """rows with a ``request`` column, plus ``results``: expressions over the answer columns.
 
-    Without ``path`` the calls are part of the returned plan: good for calls that may be repeated
-    when a task is.  With ``path`` they are stored first and never repeated.
+    Results are worked out once per distinct request; only they are joined to the rows.  Without
+    ``path`` the calls are part of the returned plan: good for calls that may be repeated when a
+    task is.  With ``path`` they are stored first and never repeated.
     """
     if isinstance(source, DataFrame):
         answers = source
@@ -139,29 +141,9 @@ def answers_for(
             if path is None
             else answer_all(requests, source, path, parallel, waves)
         )
+    found = answers.select("request_key", *[c.alias(name) for name, c in results.items()])
     keyed = rows.withColumn("request_key", F.md5(F.coalesce(F.col("request"), F.lit(""))))
-    return lookup(keyed, answers, "request_key", [row_key], rows_per_salt)
-
-
-def scored(answered: DataFrame, text: str, scale: str = "local") -> DataFrame:
-    """Own results stay; pending rows take label and score from ``reply``.
-
-    A failed call has a null reply, which the parsers turn into their fallback.  On the remote scale
-    blank texts are (neutral, 0.0) without a call.
-    """
-    parse = parse_local if scale == "local" else parse_remote
-    result = parse(F.col("reply"))
-    if scale == "remote":
-        neutral = F.struct(F.lit("neutral").alias("sentiment"), F.lit(0.0).alias("score"))
-        result = F.when(is_blank(text), neutral).otherwise(result)
-    open_row = is_pending()
-    parsed = answered.withColumn("parsed", result)
-    return parsed.withColumns(
-        {
-            "sentiment": F.when(open_row, F.col("parsed.sentiment")).otherwise(F.col("sentiment")),
-            "score": F.when(open_row, F.col("parsed.score")).otherwise(F.col("score")),
-        }
-    ).drop("parsed")
+    return lookup(keyed, found, "request_key", [row_key], rows_per_salt)
 
 
 def score_rows(
@@ -178,21 +160,34 @@ def score_rows(
 ) -> DataFrame:
     """Label and score for every pending row; rows that have both are returned as they are.
 
+    A failed call has a null reply, which the parsers turn into their fallback, as they do for a
+    text without any answer.  On the remote scale blank texts are (neutral, 0.0) without a call.
     ``read`` takes the reply text from what the model returns: ``replies.reply_text`` for JSON.
     """
     df = with_result_columns(df)
     remote = scale == "remote"
-    needs_call = is_pending() & ~is_blank(text) if remote else is_pending()
+    parse, fallback = (parse_remote, "neutral") if remote else (parse_local, fv.UNKNOWN)
+    no_result = F.struct(F.lit(fallback).alias("sentiment"), F.lit(0.0).alias("score"))
+    blank = is_blank(text) if remote else F.lit(False)
     request = strip(text) if remote else F.coalesce(F.col(text), F.lit(""))
-    to_ask = df.where(needs_call).withColumn("request", request)
-    rest = df.where(~needs_call)
-    answered = answers_for(to_ask, source, row_key, path, parallel, waves, rows_per_salt)
-    answered = answered.withColumn("reply", read("reply"))
-    done = scored(answered, text, scale).select(*df.columns)
+
+    answered = with_answers(
+        df.where(is_pending() & ~blank).withColumn("request", request),
+        source,
+        {"parsed": parse(read("reply"))},
+        row_key,
+        path,
+        parallel,
+        waves,
+        rows_per_salt,
+    )
+    results = F.coalesce("parsed", no_result)
+    asked = answered.withColumns({c: results.getField(c) for c in ("sentiment", "score")})
+    rest = df.where(~(is_pending() & ~blank))
     if remote:
-        no_reply = rest.withColumn("reply", F.lit(None).cast("string"))
-        rest = scored(no_reply, text, scale).select(*df.columns)
-    return done.unionByName(rest)
+        filled = {c: F.when(is_pending(), no_result.getField(c)).otherwise(F.col(c)) for c in ("sentiment", "score")}
+        rest = rest.withColumns(filled)
+    return asked.select(*df.columns).unionByName(rest)
 
 
 def translate_rows(
@@ -215,12 +210,20 @@ def translate_rows(
     """
     columns = [*dict.fromkeys([*df.columns, target])]
     rows = routed(df, text, target, copy_chinese=form == "concurrent")
-    to_send = rows.where(F.col("route") == SEND).withColumn("request", strip(text))
-    answered = answers_for(to_send, source, row_key, path, parallel, waves, rows_per_salt)
-    translated: Column = F.when(
-        F.col("error_type").isNotNull(), failed_marker("error_type", "error_message", form)
-    ).otherwise(F.coalesce(read("reply"), F.lit("")))
-    sent = answered.withColumn(target, translated).withColumn("failed", F.col("error_type").isNotNull())
+    failed = F.col("error_type").isNotNull()
+    translation = F.when(failed, failed_marker("error_type", "error_message", form)).otherwise(
+        F.coalesce(read("reply"), F.lit(""))
+    )
+    sent = with_answers(
+        rows.where(F.col("route") == SEND).withColumn("request", strip(text)).drop(target),
+        source,
+        {target: translation, "failed": failed},
+        row_key,
+        path,
+        parallel,
+        waves,
+        rows_per_salt,
+    )
     rest = rows.where(F.col("route") != SEND).withColumn("failed", F.lit(False))
     return sent.select(*columns, "failed").unionByName(rest.select(*columns, "failed"))
 
