@@ -60,6 +60,10 @@ def posts(spark: SparkSession, sf_dir: str, columns: Sequence[str] = COLUMNS) ->
     if {"sentiment", "score"} & set(columns):
         labels = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "label_id")
         docs = docs.join(labels, docs.doc_id == labels.label_id, "left")
+    return as_posts(docs, columns)
+
+
+def as_posts(docs: DataFrame, columns: Sequence[str]) -> DataFrame:
     made = {
         "post_id": F.col("doc_id"),
         "content": F.expr(CONTENT),

@@ -350,6 +350,11 @@ ORACLES["enrich_called"] = posts_sql(
 FROM (SELECT *, {_n} AS n, sentiment IS NULL OR score IS NULL AS open FROM posts)"""
 )
 
+ORACLES["stream_scores"] = posts_sql(
+    f"""SELECT post_id, CASE WHEN n % 11 = 0 THEN 'unknown' ELSE ['positive', 'negative', 'neutral'][n % 3 + 1] END AS sentiment,
+  CASE WHEN n % 11 = 0 THEN 0.0 ELSE (n % 100) / 100.0::DOUBLE END AS score FROM (SELECT post_id, {_n} AS n FROM posts)"""
+)
+
 # --- bags and windows -------------------------------------------------------------------------
 TEXTS = f"""{_ranked},
 texts AS (SELECT post_id, lang, {topic_tokens('content')} AS tokens FROM first WHERE rn = 1)"""

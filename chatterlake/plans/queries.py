@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -22,9 +23,11 @@ from chatterlake.operators import (
     trends,
     words,
 )
-from chatterlake.plans.fixtures import comments, posts, table
+from chatterlake.plans.fixtures import as_posts, comments, posts, table
+from chatterlake.session import shared_folder
 from chatterlake.sources import tables as sources
 from chatterlake.sources.words import word_table
+from chatterlake.streaming import scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -391,6 +394,25 @@ def enrich_called(spark, sf_dir):
     return scored.select("post_id", "sentiment", "score")
 
 
+@query
+def stream_scores(spark, sf_dir):
+    """The same calls for all posts as they arrive, with stored answers."""
+    docs = table(spark, sf_dir, "documents")
+    arriving = scoring.new_files(spark, sf_dir, docs.schema, names="documents*")
+    run = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    stream = scoring.score_stream(
+        as_posts(arriving, ("post_id", "content")),
+        "content",
+        enrichment.each(_label_by_length),
+        "post_id",
+        f"{run}/answers",
+        f"{run}/out",
+        f"{run}/progress",
+    )
+    stream.awaitTermination()
+    return spark.read.parquet(f"{run}/out").select("post_id", "sentiment", "score")
+
+
 def _translate_by_length(text: str) -> str:
     if len(text) % 5 == 0:
         raise ValueError(f"cannot translate: {text}")

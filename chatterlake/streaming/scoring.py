@@ -14,10 +14,11 @@ from chatterlake.operators.enrichment import Call, score_rows
 
 
 def new_files(
-    spark: SparkSession, path: str, schema: StructType | str, files_per_batch: int = 1000
+    spark: SparkSession, path: str, schema: StructType | str, files_per_batch: int = 1000, names: str = "*"
 ) -> DataFrame:
-    """Posts as a stream of the Parquet files that come into a folder."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    """Rows of the Parquet files that come into a folder, as a stream."""
+    options = {"maxFilesPerTrigger": files_per_batch, "pathGlobFilter": names}
+    return spark.readStream.schema(schema).options(**options).parquet(path)
 
 
 def each_batch(rows: DataFrame, write: Callable[[DataFrame, int], None], progress: str) -> StreamingQuery:

@@ -66,3 +66,22 @@ def test_scan_reads_only_what_is_needed(spark, sf_dir):
 def test_number_of_shuffles(spark, sf_dir, name, shuffles):
     plan = contract.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"(?<!Broadcast)(?<!Reused)Exchange ", plan)) == shuffles, plan
+
+
+@pytest.mark.parametrize("sf, counts", [("0.001", (200, 180, 139, 87)), ("0.01", (1000, 900, 685, 399))])
+def test_posts_hold_the_cases(spark, sf, counts):
+    from pyspark.sql import functions as F
+
+    from chatterlake.plans.fixtures import posts
+
+    got = posts(spark, f"/root/testdata/sf{sf}").agg(
+        F.count("*"), F.count("content"), F.countDistinct("content"), F.count("sentiment")
+    )
+    assert tuple(got.first()) == counts
+
+
+def test_labels_are_joined_only_when_wanted(spark, sf_dir):
+    from chatterlake.plans.fixtures import posts
+
+    plan = posts(spark, sf_dir, ("post_id", "content"))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
