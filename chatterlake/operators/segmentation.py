@@ -120,8 +120,9 @@ def _by_join(df: DataFrame, text: str, dictionary: DataFrame, key: str) -> DataF
     chinese = runs.where(is_cjk(F.col("run")))
     places = chinese.select(key, "run_no", "run", F.explode(F.sequence(F.lit(1), F.length("run"))).alias("at"))
     room = F.least(F.lit(longest), F.length("run") - F.col("at") + 1)
-    candidates = places.select(key, "run_no", "at", "run", F.explode(F.sequence(F.lit(1), room)).alias("size"))
-    candidates = candidates.select(key, "run_no", "at", "size", F.substr("run", F.col("at"), F.col("size")).alias("word"))
+    sized = places.select(key, "run_no", "at", "run", F.explode(F.sequence(F.lit(1), room)).alias("size"))
+    word = F.substr("run", F.col("at"), F.col("size")).alias("word")
+    candidates = sized.select(key, "run_no", "at", "size", word)
     known = dictionary.withColumn("known", F.lit(True))
     matches = lookup(candidates, known, "word", [key, "run_no", "at"]).where("known")
     longest_here = matches.groupBy(key, "run_no", "at").agg(F.max("size").alias("size"))

@@ -398,7 +398,8 @@ def enrich_called(spark, sf_dir):
 def stream_scores(spark, sf_dir):
     """The same calls for all posts as they arrive, with stored answers."""
     docs = table(spark, sf_dir, "documents")
-    arriving = scoring.new_files(spark, sf_dir, docs.schema, names="documents*")
+    # a pattern takes a table of one file as well as a folder
+    arriving = scoring.new_files(spark, f"{sf_dir}/documents.parquet*", docs.schema)
     run = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     stream = scoring.score_stream(
         as_posts(arriving, ("post_id", "content")),
