@@ -25,6 +25,9 @@ from chatterlake.sources.tables import path_exists
 Call = Callable[[Sequence[str]], Sequence[str | None | Exception]]
 Answers = Call | DataFrame  # a function to call, or recorded answers
 
+# names of working columns: the caller's tables may have any others
+REQUEST, KEY, PARSED, ROUTE = "__request", "__request_key", "__parsed", "__route"
+
 ANSWER_SCHEMA = "request_key string, reply string, error_type string, error_message string"
 
 
@@ -68,8 +71,8 @@ def ask(requests: DataFrame, call: Call, parallel: int) -> DataFrame:
 
 
 def distinct_texts(rows: DataFrame) -> DataFrame:
-    """request_key, request, n_rows from rows with a ``request`` column; null is sent as ''."""
-    text = F.coalesce(F.col("request"), F.lit(""))
+    """request_key, request, n_rows from rows with a request; null is sent as ''."""
+    text = F.coalesce(F.col(REQUEST), F.lit(""))
     counted = rows.groupBy(text.alias("request")).agg(F.count("*").alias("n_rows"))
     return counted.select(F.md5("request").alias("request_key"), "request", "n_rows")
 
@@ -126,7 +129,7 @@ def with_answers(
     waves: int = 1,
     rows_per_salt: int = ROWS_PER_SALT,
 ) -> DataFrame:
-    """rows with a ``request`` column, plus ``results``: expressions over the answer columns.
+    """Rows with a request, plus ``results``: expressions over the answer columns.
 
     Results are worked out once per distinct request; only they are joined to the rows.  Without
     ``path`` the calls are part of the returned plan: good for calls that may be repeated when a
@@ -141,9 +144,11 @@ def with_answers(
             if path is None
             else answer_all(requests, source, path, parallel, waves)
         )
-    found = answers.select("request_key", *[c.alias(name) for name, c in results.items()])
-    keyed = rows.withColumn("request_key", F.md5(F.coalesce(F.col("request"), F.lit(""))))
-    return lookup(keyed, found, "request_key", [row_key], rows_per_salt)
+    found = answers.select(
+        F.col("request_key").alias(KEY), *[c.alias(name) for name, c in results.items()]
+    )
+    keyed = rows.withColumn(KEY, F.md5(F.coalesce(F.col(REQUEST), F.lit(""))))
+    return lookup(keyed, found, KEY, [row_key], rows_per_salt)
 
 
 def score_rows(
@@ -172,16 +177,16 @@ def score_rows(
     request = strip(text) if remote else F.coalesce(F.col(text), F.lit(""))
 
     answered = with_answers(
-        df.where(is_pending() & ~blank).withColumn("request", request),
+        df.where(is_pending() & ~blank).withColumn(REQUEST, request),
         source,
-        {"parsed": parse(read("reply"))},
+        {PARSED: parse(read("reply"))},
         row_key,
         path,
         parallel,
         waves,
         rows_per_salt,
     )
-    results = F.coalesce("parsed", no_result)
+    results = F.coalesce(PARSED, no_result)
     asked = answered.withColumns({c: results.getField(c) for c in ("sentiment", "score")})
     rest = df.where(~(is_pending() & ~blank))
     if remote:
@@ -209,13 +214,13 @@ def translate_rows(
     serial form, ``replies.first_choice_text`` for JSON.
     """
     columns = [*dict.fromkeys([*df.columns, target])]
-    rows = routed(df, text, target, copy_chinese=form == "concurrent")
+    rows = routed(df, text, target, form == "concurrent", ROUTE)
     failed = F.col("error_type").isNotNull()
     translation = F.when(failed, failed_marker("error_type", "error_message", form)).otherwise(
         F.coalesce(read("reply"), F.lit(""))
     )
     sent = with_answers(
-        rows.where(F.col("route") == SEND).withColumn("request", strip(text)).drop(target),
+        rows.where(F.col(ROUTE) == SEND).withColumn(REQUEST, strip(text)).drop(target),
         source,
         {target: translation, "failed": failed},
         row_key,
@@ -224,7 +229,7 @@ def translate_rows(
         waves,
         rows_per_salt,
     )
-    rest = rows.where(F.col("route") != SEND).withColumn("failed", F.lit(False))
+    rest = rows.where(F.col(ROUTE) != SEND).withColumn("failed", F.lit(False))
     return sent.select(*columns, "failed").unionByName(rest.select(*columns, "failed"))
 
 

@@ -17,14 +17,14 @@ NULL_SALTS = 1 << 20
 
 
 def hot_keys(df: DataFrame, key: str, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
-    """key, salts for keys with more rows than one task should get.
+    """key, __salts for keys with more rows than one task should get.
 
     There are at most (rows of df / rows_per_salt) such keys: 100,000 of them, a few megabytes, for
     10^11 rows.  Counts are combined on the map side.
     """
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
     return counts.where(F.col("n") > rows_per_salt).select(
-        key, F.ceil(F.col("n") / F.lit(rows_per_salt)).cast("int").alias("salts")
+        key, F.ceil(F.col("n") / F.lit(rows_per_salt)).cast("int").alias("__salts")
     )
 
 
@@ -43,11 +43,11 @@ def lookup(
     nothing; they are spread too, or they would all meet in one task.
     """
     hot = F.broadcast(hot_keys(df, key, rows_per_salt) if hot is None else hot)
-    salts = F.coalesce(F.col("salts"), F.lit(1))
+    salts = F.coalesce(F.col("__salts"), F.lit(1))
     spread_over = F.when(F.col(key).isNull(), F.lit(NULL_SALTS)).otherwise(salts).cast("long")
     left = df.join(hot, key, "left").withColumn(
-        "salt", F.pmod(F.xxhash64(*spread_by), spread_over).cast("int")
+        "__salt", F.pmod(F.xxhash64(*spread_by), spread_over).cast("int")
     )
-    right = table.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    joined = left.drop("salts").join(right.drop("salts"), [key, "salt"], "left")
-    return joined.drop("salt").select(*df.columns, *[c for c in table.columns if c != key])
+    right = table.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    joined = left.drop("__salts").join(right.drop("__salts"), [key, "__salt"], "left")
+    return joined.drop("__salt").select(*df.columns, *[c for c in table.columns if c != key])

@@ -45,19 +45,19 @@ def merge_results(
     offered = [c for c in results if c in done.columns]
     if not set(keys) <= set(done.columns) or not offered:
         return df
-    names = {c: f"{c}_done" for c in offered}
+    names = {c: f"__{c}_done" for c in offered}
 
     def first_value(c: str):
         order = F.struct(row_key, c) if row_key in done.columns else F.struct(c)
         return F.min(F.when(F.col(c).isNotNull(), order)).getField(c).alias(names[c])
 
     earlier = (
-        done.withColumn("text_key", text_key(keys))
-        .where(F.col("text_key").isNotNull())
-        .groupBy("text_key")
+        done.withColumn("__text_key", text_key(keys))
+        .where(F.col("__text_key").isNotNull())
+        .groupBy("__text_key")
         .agg(*[first_value(c) for c in offered])
     )
-    keyed = df.withColumn("text_key", text_key(keys))
-    merged = lookup(keyed, earlier, "text_key", [row_key], rows_per_salt)
+    keyed = df.withColumn("__text_key", text_key(keys))
+    merged = lookup(keyed, earlier, "__text_key", [row_key], rows_per_salt)
     taken = {c: F.coalesce(F.col(c), F.col(names[c])) for c in offered}
-    return merged.withColumns(taken).drop("text_key", *names.values())
+    return merged.withColumns(taken).drop("__text_key", *names.values())

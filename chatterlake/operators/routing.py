@@ -21,16 +21,18 @@ def route(source: str, target: str, copy_chinese: bool = True) -> Column:
     return chosen.otherwise(SEND)
 
 
-def routed(df: DataFrame, source: str, target: str, copy_chinese: bool = True) -> DataFrame:
-    """Adds ``route`` and fills the target of every row that needs no request."""
+def routed(
+    df: DataFrame, source: str, target: str, copy_chinese: bool = True, column: str = "route"
+) -> DataFrame:
+    """Adds the route and fills the target of every row that needs no request."""
     if target not in df.columns:
         df = df.withColumn(target, F.lit(None).cast("string"))
     filled = (
-        F.when(F.col("route") == BLANK, "")
-        .when(F.col("route") == COPY, strip(source))
-        .when(F.col("route") == KEEP, F.col(target))
+        F.when(F.col(column) == BLANK, "")
+        .when(F.col(column) == COPY, strip(source))
+        .when(F.col(column) == KEEP, F.col(target))
     )
-    return df.withColumn("route", route(source, target, copy_chinese)).withColumn(target, filled)
+    return df.withColumn(column, route(source, target, copy_chinese)).withColumn(target, filled)
 
 
 def distinct_requests(df: DataFrame, source: str) -> DataFrame:

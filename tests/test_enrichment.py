@@ -237,3 +237,17 @@ def test_json_replies(spark):
         read=replies.reply_text,
     )
     assert rows(scored.select("sentiment", "score"), "score") == [("positive", 0.9)] * 2
+
+
+def test_working_columns_do_not_clash(spark):
+    """A table may itself have columns named request, route, parsed, salt or request_key."""
+    names = ("request", "route", "parsed", "salt", "salts", "request_key", "text_key", "sentiment_done")
+    df = spark.createDataFrame([(1, "a")], "id long, comment string").withColumns({c: F.lit(c) for c in names})
+    call = lambda texts: ["positive,0.90"] * len(texts)
+    scored = enrichment.score_rows(df, "comment", call, "id").first()
+    translated = enrichment.translate_rows(df, "comment", "t", call, "id").first()
+    done = spark.createDataFrame([("a", "neutral", 0.5)], "comment string, sentiment string, score double")
+    resumed = resuming.merge_results(df, done, ["comment"], "id").first()
+    for row in (scored, translated, resumed):
+        assert [row[c] for c in names] == list(names)
+    assert (scored.sentiment, translated.t, resumed.sentiment) == ("positive", "positive,0.90", "neutral")
