@@ -35,7 +35,7 @@ QUERIES: dict[str, Query] = {}
 WINDOW_WORDS = ("and", "das", "der", "et", "goal", "ist", "les", "of", "que", "the", "und", "比赛", "足球")
 USER_WORDS = ("世界杯", "比赛", "足球", "足球比赛", "非常精彩")
 SYSTEM_TEXT = "Give the mood of the text as label,score."
-LIST_SIZE = 10
+LIST_SIZE = fv.COHERENCE_TOP_WORDS
 
 
 def query(function: Query) -> Query:
