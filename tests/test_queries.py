@@ -5,6 +5,8 @@ import re
 import pytest
 
 import __spark_entry__ as contract
+from chatterlake.plans.oracles import ORACLES
+from chatterlake.plans.queries import QUERIES
 from check_queries import compare, connect
 
 ROWS_ONLY = {"topic_sweep", "topic_words", "topic_coherence", "topic_relevance"}
@@ -16,11 +18,12 @@ def duck(sf_dir):
 
 
 def test_all_other_queries_have_sql():
-    assert set(contract.queries()) - set(contract.oracle_sql()) == ROWS_ONLY
+    assert set(QUERIES) - set(ORACLES) == ROWS_ONLY
+    assert set(ORACLES) <= set(QUERIES) <= set(contract.queries())
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
-@pytest.mark.parametrize("name", contract.queries())
+@pytest.mark.parametrize("name", QUERIES)
 def test_query_equals_sql(spark, duck, sf_dir, name):
     verdict, _ = compare(spark, duck, name, sf_dir)
     assert verdict.startswith("rows only" if name in ROWS_ONLY else "equal"), verdict
@@ -33,7 +36,7 @@ def test_entry_has_rows(spark):
     assert df.count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(set(contract.queries()) - ROWS_ONLY))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - ROWS_ONLY))
 def test_no_cross_join(spark, sf_dir, name):
     df = contract.queries()[name](spark, sf_dir)
     plan = df._jdf.queryExecution().executedPlan().toString()
