@@ -1,0 +1,73 @@
+import hashlib
+from collections import defaultdict
+
+import pytest
+
+from chatterlake.llm import mixing
+from cases import frame, near_copies, row, words
+
+
+def fill(sizes):
+    """Targets by resharing the excess until none is above."""
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: i % 3 + 1 for i, s in enumerate(order)}
+    total, capped = sum(sizes.values()), set()
+    while True:
+        free = [s for s in order if s not in capped]
+        left = total - sum(3 * sizes[s] for s in capped)
+        share = {s: weight[s] * left / sum(weight[x] for x in free) for s in free}
+        over = [s for s in free if share[s] > 3 * sizes[s]]
+        if not over:
+            return {s: share.get(s, 3 * sizes[s]) for s in order}
+        capped |= set(over)
+
+
+def test_targets_and_taken(spark):
+    rows = near_copies(2)
+    got = [r.asDict() for r in mixing.mix(frame(spark, rows)).collect()]
+    size = {r[0]: len(words(r[1])) for r in rows}
+    of = {r[0]: r[2] for r in rows}
+    sizes = defaultdict(int)
+    for i, n in size.items():
+        sizes[of[i]] += n
+    goal, taken, largest = fill(sizes), defaultdict(int), defaultdict(int)
+    assert len(got) == len(rows)
+    for r in got:
+        s = of[r["doc_id"]]
+        assert r["size"] == size[r["doc_id"]] and r["source_size"] == sizes[s]
+        assert r["target"] == pytest.approx(goal[s])
+        assert r["taken"] == r["copies"] * r["size"] and r["copies"] <= 3
+        taken[s] += r["taken"]
+        largest[s] = max(largest[s], r["size"])
+    for s in sizes:
+        assert abs(taken[s] - goal[s]) <= largest[s] / 2 + 1e-6
+    again = [r.asDict() for r in mixing.mix(frame(spark, rows[::-1])).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, again))
+
+
+def test_extra_copies_are_the_lowest_hashes(spark):
+    rows = [row(i, "w " * (i % 7 + 1), "ab"[i % 5 == 0]) for i in range(400)]
+    got = mixing.mix(frame(spark, rows)).collect()
+    number = lambda i: int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16)
+    for s in (0, 1):
+        mine = sorted((r for r in got if (r.doc_id % 5 == 0) == s), key=lambda r: number(r.doc_id))
+        copies = [r.copies for r in mine]
+        assert copies == sorted(copies, reverse=True) and len(set(copies)) == (1 if s else 2)
+
+
+def test_mixed_rows_are_whole(spark):
+    rows = near_copies(4)
+    docs = frame(spark, rows)
+    copies = {r.doc_id: r.copies for r in mixing.mix(docs).collect()}
+    got = mixing.mixed_rows(docs)
+    assert got.columns == docs.columns
+    want = sorted(repr(r) for r in rows for _ in range(copies[r[0]]))
+    assert sorted(repr(tuple(r)) for r in got.collect()) == want
+
+
+def test_no_rows_no_keys_no_words(spark):
+    assert mixing.mix(frame(spark, [])).collect() == []
+    got = mixing.mix(frame(spark, [row(None, None, None), row(None, " ", None), row(1, "", "a")])).collect()
+    assert {(r.size, r.source_size, r.target, r.taken) for r in got} == {(0, 0, 0.0, 0)}
+    got = mixing.mix(frame(spark, [row(None, "a b", None), row(None, "a b", None), row(1, "", "a")])).collect()
+    assert sum(r.taken for r in got) == 4
