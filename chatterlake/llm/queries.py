@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chatterlake.llm import mixing, near_dedup, sharding
+from chatterlake.llm import decontamination, mixing, near_dedup, quality_rules, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -23,6 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op2_line_first_rules(spark, sf_dir):
+    return quality_rules.quality(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_rendezvous_sharding(spark, sf_dir):
     even = {s: 1.0 for s in range(N_SHARDS + 1)}
@@ -30,6 +35,11 @@ def op4_rendezvous_sharding(spark, sf_dir):
     return sharding.assign(table(spark, sf_dir, "documents"), now, even)
 
 
+@query
+def op7_minhash_containment(spark, sf_dir):
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op9_mix_sources(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
@@ -38,3 +48,58 @@ def op9_mix_sources(spark, sf_dir):
 @query
 def op10_setsketch_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+# --- SQL --------------------------------------------------------------------------------------
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+
+def _shingles(table: str, key: str) -> str:
+    words = WORDS.format(LOWER)
+    return f"""SELECT DISTINCT {key}, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS shingle
+        FROM (SELECT {key}, {words} AS w FROM {table})"""
+
+
+ORACLES["op7_minhash_containment"] = f"""
+WITH d AS ({_shingles("documents", "doc_id")}),
+b AS ({_shingles("benchmark", "item_id")}),
+s AS (SELECT item_id, count(*) AS n_item FROM b GROUP BY ALL),
+m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN b USING (shingle) GROUP BY ALL)
+SELECT doc_id, item_id, n_shared, n_item FROM m JOIN s USING (item_id) WHERE 100 * n_shared >= 80 * n_item
+"""
+
+ORACLES["op9_mix_sources"] = r"""
+WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS size,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight, 3 * source_size AS cap FROM s),
+o AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
+    sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS sharing,
+    sum(source_size) OVER () AS total FROM w),
+f AS (SELECT *, CAST(cap AS DOUBLE) < CAST(weight * (total - capped) AS DOUBLE) / CAST(sharing AS DOUBLE) AS above FROM o),
+g AS (SELECT *, min(capped) FILTER (NOT above) OVER () AS c, max(sharing) FILTER (NOT above) OVER () AS u FROM f),
+t AS (SELECT source, source_size, CASE WHEN above THEN CAST(cap AS DOUBLE) ELSE CAST(weight * (total - c) AS DOUBLE) / CAST(u AS DOUBLE) END AS target FROM g),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS copies FROM t),
+r AS (SELECT doc_id, size, source_size, target, copies, target - copies * source_size AS budget,
+    sum(size) OVER (PARTITION BY p.source ORDER BY h) AS upto,
+    sum(size) OVER (PARTITION BY p.source, h) AS here
+    FROM sized JOIN p ON sized.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * (copies + CASE
+    WHEN upto <= budget THEN 1 WHEN upto - here <= budget AND here - (budget - (upto - here)) < budget - (upto - here) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM r
+"""
+
+ORACLES["op10_setsketch_near_dedup"] = f"""
+WITH RECURSIVE d AS ({_shingles("documents", "doc_id")}),
+n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY ALL),
+m AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM d x JOIN d y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM m JOIN n p ON a = p.doc_id JOIN n q ON b = q.doc_id WHERE 100 * shared >= 85 * (p.n + q.n - shared)),
+r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a, min(b) AS least_b FROM r GROUP BY a)
+SELECT documents.doc_id, coalesce(n.n, 0) AS n_shingles, least(documents.doc_id, coalesce(c.least_b, documents.doc_id)) AS component_id,
+    documents.doc_id = least(documents.doc_id, coalesce(c.least_b, documents.doc_id)) AS kept
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c ON documents.doc_id = c.a
+"""
