@@ -49,8 +49,8 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 
 def texts_and_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of all texts and each text's offsets; null is empty."""
-    texts = pc.fill_null(pc.cast(texts, pa.large_string()), "")
+    """The bytes of all texts, or binary values, and each one's offsets; null is empty."""
+    texts = pc.fill_null(pc.cast(texts, pa.large_binary()), b"")
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     whole = texts.buffers()[2]
     data = np.frombuffer(whole, np.uint8) if whole is not None else np.zeros(0, np.uint8)

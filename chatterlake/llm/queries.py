@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chatterlake.llm import decontamination, mixing, near_dedup, quality_rules, sharding
+from chatterlake.llm import decontamination, mixing, near_dedup, quality_rules, sharding, token_output
+from chatterlake.llm.storage import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 N_SHARDS = 40
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def query(function: Query) -> Query:
@@ -23,6 +27,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def token_files(docs: DataFrame) -> DataFrame:
+    """Writes the documents' ids, reads the files back, and sums each document's ids up."""
+    path = new_folder(docs.sparkSession, "tokens")
+    token_output.write_tokens(docs, path, VOCABULARY)
+    found = token_output.read_tokens(docs.sparkSession, path)
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op1_huffman_token_files(spark, sf_dir):
+    return token_files(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_line_first_rules(spark, sf_dir):
     return quality_rules.quality(table(spark, sf_dir, "documents"))
