@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatterlake.llm import decontamination, mixing, near_dedup, quality_rules, sharding, token_output
+from chatterlake.llm import decontamination, mixing, near_dedup, ngram_model, quality_rules, sharding, token_output
 from chatterlake.llm.storage import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,16 @@ def op2_line_first_rules(spark, sf_dir):
     return quality_rules.quality(table(spark, sf_dir, "documents"))
 
 
+def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents labelled as good and harmless."""
+    return table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0").select("doc_id")
+
+
+@query
+def op3_kneser_ney_quality(spark, sf_dir):
+    return ngram_model.judged(table(spark, sf_dir, "documents"), trusted(spark, sf_dir))
+
+
 @query
 def op4_rendezvous_sharding(spark, sf_dir):
     even = {s: 1.0 for s in range(N_SHARDS + 1)}
