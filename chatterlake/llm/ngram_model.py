@@ -33,7 +33,7 @@ SHARD_GRAMS = 2_000_000  # of 16 bytes
 TASK_GRAMS = 2_000_000  # counts that a task holds before it hands them on
 BROADCAST_IDS = 1_000_000
 PRIOR_SYMBOLS = 60  # symbols at the language's median that each text's own are averaged with
-QUANTILE, SPREAD = 0.95, 3.0
+QUANTILE, SPREAD = 0.95, 4.0
 LEAST_TEXTS = 30  # held-out trusted texts that a language needs for limits of its own
 HELD_OUT = 5  # of the trusted texts one in so many, by a hash of the key, sets limits instead of training
 

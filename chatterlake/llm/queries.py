@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatterlake.llm import decontamination, mixing, near_dedup, ngram_model, quality_rules, sharding, token_output
+from chatterlake.llm import decontamination, mixing, near_dedup, ngram_model, quality_rules, sharding, token_output, warc
 from chatterlake.llm.storage import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,14 @@ def op4_rendezvous_sharding(spark, sf_dir):
     return sharding.assign(table(spark, sf_dir, "documents"), now, even)
 
 
+@query
+def op6_warc_by_index(spark, sf_dir):
+    index = warc.write_archives(table(spark, sf_dir, "pages"), new_folder(spark, "archives"))
+    return warc.read_archives(index).select(
+        F.col("key").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to"
+    )
+
+
 @query
 def op7_minhash_containment(spark, sf_dir):
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -89,6 +97,15 @@ def _shingles(table: str, key: str) -> str:
         FROM (SELECT {key}, {words} AS w FROM {table})"""
 
 
+ORACLES["op6_warc_by_index"] = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS best FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+    CASE WHEN payload_bytes >= 1000 AND page_id <> best THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN payload_bytes >= 1000 AND page_id <> best THEN best END AS refers_to
+FROM m
+"""
+
 ORACLES["op7_minhash_containment"] = f"""
 WITH d AS ({_shingles("documents", "doc_id")}),
 b AS ({_shingles("benchmark", "item_id")}),

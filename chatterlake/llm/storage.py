@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from chatterlake.session import shared_folder
 
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path of its own for this run, below one folder per application, so that all can go at once."""
@@ -19,6 +21,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    path = new_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The rows as a table in the shared folder; the shuffle files of the write go when it ends."""
+    spark = df.sparkSession
+    path = new_folder(spark, name)
+    before = spark.conf.get(_DROP_SHUFFLES)
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_DROP_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
