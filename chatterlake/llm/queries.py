@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatterlake.llm import decontamination, mixing, near_dedup, ngram_model, quality_rules, sharding, token_output, warc
+from chatterlake.llm import decontamination, mixing, near_dedup, ngram_model, quality_rules, repeats, sharding, token_output, warc
 from chatterlake.llm.storage import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +75,14 @@ def op7_minhash_containment(spark, sf_dir):
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op8_repeated_passages(spark, sf_dir):
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 @query
 def op9_mix_sources(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
