@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatterlake.llm import decontamination, mixing, near_dedup, ngram_model, quality_rules, repeats, sharding, token_output, warc
+from chatterlake.llm import decontamination, line_dedup, mixing, near_dedup, ngram_model, quality_rules, repeats, sharding, token_output, warc
 from chatterlake.llm.storage import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,11 @@ def op4_rendezvous_sharding(spark, sf_dir):
     return sharding.assign(table(spark, sf_dir, "documents"), now, even)
 
 
+@query
+def op5_similar_lines(spark, sf_dir):
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_warc_by_index(spark, sf_dir):
     index = warc.write_archives(table(spark, sf_dir, "pages"), new_folder(spark, "archives"))
