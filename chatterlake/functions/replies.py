@@ -114,6 +114,59 @@ def first_choice_text(body: Column | str) -> Column:
     return strip(F.coalesce(content, F.lit("")))
 
 
+def _error(kind: str, message: str) -> Column:
+    return F.struct(F.lit(kind).alias("type"), F.lit(message).alias("message"))
+
+
+def _content_error(message: Column, may_be_null: bool) -> Column:
+    """What is wrong with a message: not an object, without content, or with a null one."""
+    keys = F.json_object_keys(message)
+    null = F.get_json_object(message, "$.content").isNull()
+    found = F.when(keys.isNull(), _error("TypeError", "the message is no object")).when(
+        ~F.array_contains(keys, "content"), _error("KeyError", "'content'")
+    )
+    return found if may_be_null else found.when(null, _error("AttributeError", "the content is null"))
+
+
+def _choice_error(body: Column, may_be_null: bool) -> Column:
+    choices, first = F.get_json_object(body, "$.choices"), F.get_json_object(body, "$.choices[0]")
+    keys = F.json_object_keys(first)
+    return (
+        F.when(F.json_array_length(choices).isNull(), _error("TypeError", "the choices are no list"))
+        .when(F.json_array_length(choices) == 0, _error("IndexError", "list index out of range"))
+        .when(keys.isNull(), _error("TypeError", "the choice is no object"))
+        .when(~F.array_contains(keys, "message"), _error("KeyError", "'message'"))
+        .otherwise(_content_error(F.get_json_object(first, "$.message"), may_be_null))
+    )
+
+
+def broken_reply(body: Column | str) -> Column:
+    """struct<type, message> of what keeps ``reply_text`` from reading a body, null if nothing does.
+
+    A null body is no reply at all, and an object without message and choices an empty one.
+    """
+    body = col(body)
+    keys = F.json_object_keys(body)
+    return (
+        F.when(body.isNull(), None)
+        .when(keys.isNull(), _error("JSONDecodeError", "the reply is no JSON object"))
+        .when(F.array_contains(keys, "message"), _content_error(F.get_json_object(body, "$.message"), True))
+        .when(F.array_contains(keys, "choices"), _choice_error(body, True))
+    )
+
+
+def broken_choice(body: Column | str) -> Column:
+    """The same for ``first_choice_text``, which needs a first choice with content."""
+    body = col(body)
+    keys = F.json_object_keys(body)
+    return (
+        F.when(body.isNull(), None)
+        .when(keys.isNull(), _error("JSONDecodeError", "the reply is no JSON object"))
+        .when(~F.array_contains(keys, "choices"), _error("KeyError", "'choices'"))
+        .otherwise(_choice_error(body, False))
+    )
+
+
 def chat_request(
     model: str, system: str, user: Column | str, **options: float | int | bool | dict
 ) -> Column:

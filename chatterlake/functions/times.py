@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from chatterlake.functions.text import col
 
-FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy/MM/dd HH:mm", "yyyy-MM-dd")
+#: Day with or without zeros, then a time of minutes, seconds or fractions, and a zone; tried in order.
+FORMATS = tuple(f"yyyy{s}M{s}d[{gap}H:m[:s[.SSSSSSSSS]][XXX]]" for s in "-/" for gap in (" ", "'T'"))
 
 
 def parse_time(c: Column | str, formats: Sequence[str] = FORMATS) -> Column:

@@ -29,6 +29,7 @@ Answers = Call | DataFrame  # a function to call, or recorded answers
 REQUEST, KEY, PARSED, ROUTE = "__request", "__request_key", "__parsed", "__route"
 
 ANSWER_SCHEMA = "request_key string, reply string, error_type string, error_message string"
+STORED_SCHEMA = f"{ANSWER_SCHEMA}, answered_at timestamp"
 
 
 def each(function: Callable[[str], str | None]) -> Call:
@@ -85,7 +86,7 @@ def stored_answers(path: str, wanted: DataFrame) -> DataFrame:
     """
     rest = ["reply", "error_type", "error_message"]
     first = F.min_by(F.struct(*rest), "answered_at").alias("first")
-    stored = wanted.sparkSession.read.parquet(path).join(wanted.select("request_key"), "request_key", "left_semi")
+    stored = wanted.sparkSession.read.schema(STORED_SCHEMA).parquet(path).join(wanted.select("request_key"), "request_key", "left_semi")
     return stored.groupBy("request_key").agg(first).select("request_key", "first.*")
 
 
@@ -99,7 +100,7 @@ def answer_all(requests: DataFrame, call: Call, path: str, parallel: int = 8, wa
     spark = requests.sparkSession
     fresh = requests
     if path_exists(spark, path):
-        known = spark.read.parquet(path).select("request_key")
+        known = spark.read.schema(STORED_SCHEMA).parquet(path).select("request_key")  # a run may have left none
         fresh = fresh.join(known, "request_key", "left_anti")
 
     def store(open_requests: DataFrame) -> None:
@@ -207,16 +208,22 @@ def translate_rows(
     waves: int = 1,
     rows_per_salt: int = ROWS_PER_SALT,
     read: Callable[[str], Column] = strip,
+    broken: Callable[[str], Column] | None = None,
 ) -> DataFrame:
     """Fills ``target``; adds ``failed``.  Rows that need no request are filled by their route.
 
     ``read`` takes the translation from what the model returns: ``replies.reply_text`` or, in the
-    serial form, ``replies.first_choice_text`` for JSON.
+    serial form, ``replies.first_choice_text`` for JSON.  ``broken`` says what is wrong with a reply,
+    ``replies.broken_reply`` or ``replies.broken_choice``; such replies are failures too.
     """
     columns = [*dict.fromkeys([*df.columns, target])]
     rows = routed(df, text, target, form == "concurrent", ROUTE)
-    failed = F.col("error_type").isNotNull()
-    translation = F.when(failed, failed_marker("error_type", "error_message", form)).otherwise(
+    none = F.lit(None).cast("struct<type string, message string>")
+    wrong = none if broken is None else broken("reply")
+    error_type = F.coalesce("error_type", wrong.getField("type"))
+    failed = error_type.isNotNull()
+    error_message = F.coalesce("error_message", wrong.getField("message"), F.lit(""))
+    translation = F.when(failed, failed_marker(error_type, error_message, form)).otherwise(
         F.coalesce(read("reply"), F.lit(""))
     )
     sent = with_answers(

@@ -37,9 +37,9 @@ def merge_results(
 ) -> DataFrame:
     """Each row keeps its own result, else takes the earlier one of the same key columns.
 
-    ``done`` gives at most one value per key and column: the first non-null one by ``row_key``, or
-    the smallest if ``done`` has no such column.  No row is added.  Without the key columns in
-    ``done`` nothing can be taken over.
+    ``done`` gives at most one row per key, so what is taken over was said together: the first by
+    ``row_key`` of those with all results, else of those with any; without such a column the smallest
+    results.  No row is added.  Without the key columns in ``done`` nothing can be taken over.
     """
     df = with_result_columns(df, results)
     offered = [c for c in results if c in done.columns]
@@ -47,15 +47,15 @@ def merge_results(
         return df
     names = {c: f"__{c}_done" for c in offered}
 
-    def first_value(c: str):
-        order = F.struct(row_key, c) if row_key in done.columns else F.struct(c)
-        return F.min(F.when(F.col(c).isNotNull(), order)).getField(c).alias(names[c])
-
+    any_missing = F.greatest(*[F.col(c).isNull() for c in offered], F.lit(False))
+    order = [F.col(row_key)] if row_key in done.columns else []
+    candidate = F.struct(any_missing.alias("__missing"), *order, *[F.col(c).alias(names[c]) for c in offered])
     earlier = (
         done.withColumn("__text_key", text_key(keys))
-        .where(F.col("__text_key").isNotNull())
+        .where(F.col("__text_key").isNotNull() & F.coalesce(*[F.col(c).cast("string") for c in offered]).isNotNull())
         .groupBy("__text_key")
-        .agg(*[first_value(c) for c in offered])
+        .agg(F.min(candidate).alias("__first"))
+        .select("__text_key", *[F.col("__first").getField(n).alias(n) for n in names.values()])
     )
     keyed = df.withColumn("__text_key", text_key(keys))
     merged = lookup(keyed, earlier, "__text_key", [row_key], rows_per_salt)

@@ -63,7 +63,7 @@ def test_resume_keeps_own_results_and_row_count(spark):
     )
     got = resuming.merge_results(df, done, ["content"], "post_id")
     assert rows(got, "post_id") == [
-        (1, "a", "neutral", 0.1), (2, "a", "positive", 0.9), (3, None, None, None),
+        (1, "a", "negative", 0.2), (2, "a", "positive", 0.9), (3, None, None, None),
         (4, "b", "unknown", 0.5), (5, "z", None, None),
     ]
 
@@ -239,6 +239,29 @@ def test_json_replies(spark):
     assert rows(scored.select("sentiment", "score"), "score") == [("positive", 0.9)] * 2
 
 
+def test_broken_replies_are_failures(spark):
+    from chatterlake.functions import replies
+
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, comment string")
+    bodies = {"a": '{"message":{"content":"x"}}', "b": '{"choices":[]}', "c": "no json"}
+    got = enrichment.translate_rows(
+        df, "comment", "t", lambda ts: [bodies[t] for t in ts], "id", read=replies.reply_text, broken=replies.broken_reply
+    )
+    assert rows(got.select("id", "t", "failed"), "id") == [
+        (1, "x", False),
+        (2, "[翻译失败:IndexError] list index out of range", True),
+        (3, "[翻译失败:JSONDecodeError] the reply is no JSON object", True),
+    ]
+
+
+def test_resume_after_a_run_that_left_no_answers(spark, tmp_path):
+    path = tmp_path / "answers"
+    (path / "_temporary").mkdir(parents=True)
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, comment string")
+    got = enrichment.score_rows(df, "comment", lambda ts: ["positive,0.50"] * len(ts), "id", path=str(path))
+    assert [r.score for r in got.collect()] == [0.5, 0.5]
+
+
 def test_working_columns_do_not_clash(spark):
     """A table may itself have columns named request, route, parsed, salt or request_key."""
     names = ("request", "route", "parsed", "salt", "salts", "request_key", "text_key", "sentiment_done")

@@ -73,6 +73,29 @@ def test_reply_text(spark, body, text, choice):
     assert tuple(df.select(replies.reply_text("b"), replies.first_choice_text("b")).first()) == (text, choice)
 
 
+@pytest.mark.parametrize(
+    "body, reply, choice",
+    [
+        ('{"message":{"content":"a"}}', None, "KeyError"),
+        ('{"message":{"content":null}}', None, "KeyError"),
+        ('{"message":null}', "TypeError", "KeyError"),
+        ('{"message":{}}', "KeyError", "KeyError"),
+        ('{"choices":[{"message":{"content":"b"}}]}', None, None),
+        ('{"choices":[{"message":{"content":null}}]}', None, "AttributeError"),
+        ('{"choices":[]}', "IndexError", "IndexError"),
+        ('{"choices":[{}]}', "KeyError", "KeyError"),
+        ('{"choices":null}', "TypeError", "TypeError"),
+        ("{}", None, "KeyError"),
+        ("no json", "JSONDecodeError", "JSONDecodeError"),
+        (None, None, None),
+    ],
+)
+def test_broken_replies(spark, body, reply, choice):
+    df = spark.createDataFrame([(body,)], "b string")
+    got = df.select(replies.broken_reply("b").alias("r"), replies.broken_choice("b").alias("c")).select("r.type", F.col("c.type").alias("c")).first()
+    assert tuple(got) == (reply, choice)
+
+
 def test_chat_request(spark):
     df = spark.createDataFrame([('say "hi"\n你好',), (None,)], "c string")
     request = replies.chat_request("m", "s", "c", **fv.REQUEST_OPTIONS["remote"])
@@ -94,7 +117,23 @@ def test_failed_marker(spark):
 
 
 def test_parse_time(spark):
-    values = ["2024-06-01 10:00:00", "2024/06/01 10:00", "2024-06-01", "not a date", "2024-13-01", None]
+    values = {
+        "2024-06-01 10:00:00": "2024-06-01 10:00:00",
+        "2024/06/01 10:00": "2024-06-01 10:00:00",
+        "2024-06-01": "2024-06-01 00:00:00",
+        "2024-06-01T10:00:00": "2024-06-01 10:00:00",
+        "2024-06-01T10:00:00.123": "2024-06-01 10:00:00.123",
+        "2024-06-01 10:00:00.123456": "2024-06-01 10:00:00.123456",
+        "2024/6/1 9:05": "2024-06-01 09:05:00",
+        "2024-6-1": "2024-06-01 00:00:00",
+        "2024-06-01T10:00:00Z": "2024-06-01 10:00:00",
+        "2024-06-01T10:00:00+08:00": "2024-06-01 02:00:00",
+        "not a date": None,
+        "2024-13-01": None,
+        "2024-06-01 25:00": None,
+        "": None,
+        None: None,
+    }
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, c string")
-    got = [r[0] for r in df.orderBy("i").select(times.day_of("c").cast("string")).collect()]
-    assert got == ["2024-06-01"] * 3 + [None] * 3
+    got = [r[0] for r in df.orderBy("i").select(times.parse_time("c").cast("string")).collect()]
+    assert got == list(values.values())
