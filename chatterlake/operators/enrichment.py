@@ -1,7 +1,7 @@
 """Results of a caller-supplied model for each distinct text, joined back to the rows.
 
 The model call itself is the caller's: a function from a list of texts to a list of replies, run in
-``mapInPandas`` on the distinct texts only.  Number of partitions = calls in flight at once.
+``mapInPandas`` on the distinct texts only.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from chatterlake.operators.resuming import with_result_columns
 from chatterlake.operators.routing import SEND, routed
 from chatterlake.operators.splitting import is_pending
 from chatterlake.session import shared_folder
-from chatterlake.sources.tables import path_exists
+from chatterlake.sources.tables import path_exists, remove
 
 Call = Callable[[Sequence[str]], Sequence[str | None | Exception]]
 Answers = Call | DataFrame  # a function to call, or recorded answers
@@ -47,8 +47,12 @@ def each(function: Callable[[str], str | None]) -> Call:
     return call
 
 
-def ask(requests: DataFrame, call: Call, parallel: int) -> DataFrame:
-    """request_key, request -> request_key, reply, error_type, error_message."""
+def ask(requests: DataFrame, call: Call, parallel: int | None = None) -> DataFrame:
+    """request_key, request -> request_key, reply, error_type, error_message.
+
+    The requests are dealt by key over as many tasks as any shuffle has, so the calls in flight are as
+    many as the executors have cores.  ``parallel`` is for a model that takes no more calls at once.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -67,7 +71,9 @@ def ask(requests: DataFrame, call: Call, parallel: int) -> DataFrame:
                 }
             )
 
-    spread = requests.select("request_key", "request").repartition(parallel, "request_key")
+    wanted = requests.select("request_key", "request")
+    tasks = parallel or int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = wanted.repartition(tasks, "request_key")  # a set number: few bytes, but many calls
     return spread.mapInPandas(run, ANSWER_SCHEMA)
 
 
@@ -90,7 +96,7 @@ def stored_answers(path: str, wanted: DataFrame) -> DataFrame:
     return stored.groupBy("request_key").agg(first).select("request_key", "first.*")
 
 
-def answer_all(requests: DataFrame, call: Call, path: str, parallel: int = 8, waves: int = 1) -> DataFrame:
+def answer_all(requests: DataFrame, call: Call, path: str, parallel: int | None = None, waves: int = 1) -> DataFrame:
     """Asks for what ``path`` does not hold yet, appends the answers there, and reads them back.
 
     The stored answers are cache and progress log in one.  Each of the ``waves`` commits on its
@@ -115,8 +121,11 @@ def answer_all(requests: DataFrame, call: Call, path: str, parallel: int = 8, wa
         wave = F.pmod(F.xxhash64("request_key"), F.lit(waves)).cast("int")
         fresh.withColumn("wave", wave).write.partitionBy("wave").parquet(queue)
         queued = spark.read.schema("request_key string, request string, n_rows long, wave int").parquet(queue)
-        for number in range(waves):
-            store(queued.where(F.col("wave") == number))
+        try:
+            for number in range(waves):
+                store(queued.where(F.col("wave") == number))
+        finally:
+            remove(spark, queue)
     return stored_answers(path, requests)
 
 
@@ -126,7 +135,7 @@ def with_answers(
     results: dict[str, Column],
     row_key: str,
     path: str | None = None,
-    parallel: int = 8,
+    parallel: int | None = None,
     waves: int = 1,
     rows_per_salt: int = ROWS_PER_SALT,
 ) -> DataFrame:
@@ -159,7 +168,7 @@ def score_rows(
     row_key: str,
     scale: str = "local",
     path: str | None = None,
-    parallel: int = 8,
+    parallel: int | None = None,
     waves: int = 1,
     rows_per_salt: int = ROWS_PER_SALT,
     read: Callable[[str], Column] = F.col,
@@ -204,7 +213,7 @@ def translate_rows(
     row_key: str,
     form: str = "concurrent",
     path: str | None = None,
-    parallel: int = 4,
+    parallel: int | None = None,
     waves: int = 1,
     rows_per_salt: int = ROWS_PER_SALT,
     read: Callable[[str], Column] = strip,

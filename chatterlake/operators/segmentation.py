@@ -12,9 +12,6 @@ from chatterlake.functions import fixed_values as fv
 from chatterlake.functions.tokens import RUNS, is_cjk, segment, two_char_tokens
 from chatterlake.operators.lookup import lookup
 
-PATTERN_WORDS = 200  # as one regular expression
-BROADCAST_WORDS = 500_000  # as a set in each Python worker
-
 
 def cut_run(run: str, words: frozenset[str], longest: int) -> list[str]:
     """Cuts one Chinese run; characters between matches form overlapping two-character tokens."""
@@ -47,24 +44,20 @@ def with_tokens(
     df: DataFrame,
     text: str,
     dictionary: DataFrame,
-    key: str,
-    pattern_words: int = PATTERN_WORDS,
-    broadcast_words: int = BROADCAST_WORDS,
+    method: str = "set",
 ) -> DataFrame:
-    """Adds ``tokens``.  The size of the dictionary decides how it reaches the texts.
+    """Adds ``tokens``; all methods give the same ones.  The caller names how the dictionary travels.
 
-    A few words become one regular expression and stay in the JVM; more are sent to the Python
-    workers as a set; beyond ``broadcast_words`` the dictionary is joined.
+    "set": as a set in each Python worker, for dictionaries that fit there; "pattern": as one regular
+    expression inside the JVM, for a few words; "join": dealt out, for dictionaries of any size.
     """
     usable = _usable(dictionary)
-    words = [r.word for r in usable.limit(broadcast_words + 1).collect()]
+    if method == "join":
+        return _by_join(df, text, usable)
+    words = [r.word for r in usable.collect()]
     if not words:
         return df.withColumn("tokens", segment(text))
-    if len(words) <= pattern_words:
-        return _by_pattern(df, text, words)
-    if len(words) <= broadcast_words:
-        return _by_set(df, text, words)
-    return _by_join(df, text, usable, key)
+    return {"pattern": _by_pattern, "set": _by_set}[method](df, text, words)
 
 
 def _by_pattern(df: DataFrame, text: str, words: list[str]) -> DataFrame:
@@ -108,13 +101,17 @@ def _by_set(df: DataFrame, text: str, words: list[str]) -> DataFrame:
     return df.withColumn("tokens", cut(F.regexp_extract_all(text, F.lit(RUNS), F.lit(1))))
 
 
-def _by_join(df: DataFrame, text: str, dictionary: DataFrame, key: str) -> DataFrame:
+def _by_join(df: DataFrame, text: str, dictionary: DataFrame) -> DataFrame:
     """Every place and length a word could have is looked up; then the matches are walked in order.
 
-    No group is larger than one run of one text.
+    Each distinct text is cut once, under its own hash.  No group is larger than one run of one text.
     """
-    longest = dictionary.agg(F.max(F.length("word"))).first()[0]
-    runs = df.select(
+    key, named = "__text_key", F.md5(F.col(text)).alias("__text_key")
+    longest = dictionary.agg(F.max(F.length("word"))).first()[0] or 0
+    texts = df.select(named, text).where(F.col(text).isNotNull()).dropDuplicates([key])
+    if not longest:
+        return df.withColumn("tokens", segment(text))
+    runs = texts.select(
         key, F.posexplode(F.regexp_extract_all(text, F.lit(RUNS), F.lit(1))).alias("run_no", "run")
     )
     chinese = runs.where(is_cjk(F.col("run")))
@@ -166,4 +163,5 @@ def _by_join(df: DataFrame, text: str, dictionary: DataFrame, key: str) -> DataF
     ordered = F.array_sort(F.collect_list(F.struct("run_no", "tokens")))
     per_text = cut_runs.groupBy(key).agg(F.flatten(F.transform(ordered, lambda r: r.tokens)).alias("tokens"))
     none = F.when(F.col(text).isNotNull(), F.array().cast("array<string>"))
-    return df.join(per_text, key, "left").withColumn("tokens", F.coalesce("tokens", none))
+    joined = df.withColumn(key, F.md5(F.col(text))).join(per_text, key, "left").drop(key)
+    return joined.withColumn("tokens", F.coalesce("tokens", none))

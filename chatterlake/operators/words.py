@@ -11,23 +11,17 @@ from chatterlake.functions import fixed_values as fv
 from chatterlake.functions.text import col, drop_noise
 from chatterlake.functions.tokens import cloud_word, segment
 
-LITERAL_WORDS = 2_000  # more words than this are joined, not listed in the expression
-
 
 def stop_word_union(base: DataFrame, user: DataFrame) -> DataFrame:
     return base.select("word").union(user.select("word")).distinct()
 
 
 def without_words(df: DataFrame, words: Iterable[str] | DataFrame, column: str = "word") -> DataFrame:
-    """Rows whose word is not in the set.
+    """Rows whose word is not in the set; a null word is in no set.
 
-    A short list becomes a hash lookup inside the expression.  Anything larger is a left anti join
-    whose strategy Spark picks by the size of the word table.
+    One left anti join for every size of the set; Spark picks its strategy by the table's size.
     """
     if not isinstance(words, DataFrame):
-        words = list(words)
-        if len(words) <= LITERAL_WORDS:
-            return df.where(~F.col(column).isin(words)) if words else df
         words = df.sparkSession.createDataFrame([(w,) for w in words], "word string")
     return df.join(words.select(F.col("word").alias(column)), column, "left_anti")
 

@@ -30,19 +30,18 @@ def strip(c: str) -> str:
 
 
 POSTS = f"""posts AS (
-  SELECT d.doc_id AS post_id, {fixtures.CONTENT} AS content, lang, source, {fixtures.POSTED_AT} AS posted_at,
+  SELECT {fixtures.POST_ID} AS post_id, {fixtures.CONTENT} AS content, lang, source, {fixtures.POSTED_AT} AS posted_at,
     {fixtures.SENTIMENT} AS sentiment, {fixtures.SCORE} AS score, {fixtures.REPLY} AS reply
-  FROM documents d LEFT JOIN (SELECT doc_id AS label_id, quality, toxic FROM labels) l ON d.doc_id = l.label_id)"""
+  FROM documents d CROSS JOIN (VALUES (0), (1)) c(added)
+  LEFT JOIN (SELECT doc_id AS label_id, quality, toxic FROM labels) l ON d.doc_id = l.label_id
+  WHERE added = 0 OR {fixtures.ADDED})"""
 
-COMMENTS = """comments AS (
-  SELECT conv_id * 1000 + turn AS comment_id,
-    CASE (conv_id + turn) % 6 WHEN 1 THEN concat('　', text, ' 　')
-      WHEN 3 THEN concat(' 今天的足球比赛非常精彩 ', CAST(conv_id % 5 AS STRING))
-      WHEN 4 THEN '　 ' WHEN 5 THEN NULL ELSE text END AS comment,
+COMMENTS = f"""comments AS (
+  SELECT {fixtures.COMMENT_ID} AS comment_id, {fixtures.COMMENT} AS comment,
     CASE conv_id % 4 WHEN 0 THEN '已有译文' WHEN 1 THEN '  ' WHEN 2 THEN NULL ELSE '' END AS translation
-  FROM conversations WHERE role = 'user')"""
+  FROM conversations CROSS JOIN (VALUES (0), (1)) c(added) WHERE added = 0 OR {fixtures.COMMENT_ADDED})"""
 
-TIME = "try_strptime(posted_at, '%Y-%m-%d %H:%M:%S')"
+TIME = """try_strptime(posted_at, ['%Y-%m-%d %H:%M:%S', '%Y-%m-%d %H:%M:%S.%f', '%Y/%m/%d %H:%M', '%Y-%m-%dT%H:%M:%S', '%Y-%m-%d'])"""
 DATED = f"dated AS (SELECT CAST({TIME} AS DATE) AS day, * FROM posts WHERE {TIME} IS NOT NULL)"
 
 
@@ -236,8 +235,13 @@ ORACLES["parse_remote_decimals"] = parsed_remote(
     "doc_id",
 )
 ORACLES["reply_text"] = posts_sql(
-    f"""SELECT post_id, CASE WHEN post_id % 3 < 2 THEN coalesce({strip('content')}, '') ELSE '' END AS text,
-  CASE WHEN post_id % 3 = 1 THEN coalesce({strip('content')}, '') ELSE '' END AS choice_text FROM posts"""
+    f"""SELECT post_id, CASE WHEN post_id % 6 < 2 THEN coalesce({strip('content')}, '') ELSE '' END AS text,
+  CASE WHEN post_id % 6 = 1 THEN coalesce({strip('content')}, '') ELSE '' END AS choice_text,
+  CASE WHEN post_id % 6 < 2 AND content IS NULL THEN 'KeyError'
+    ELSE [NULL, NULL, NULL, 'TypeError', 'IndexError', 'JSONDecodeError'][post_id % 6 + 1] END AS error,
+  CASE WHEN post_id % 6 = 1 AND content IS NULL THEN 'KeyError'
+    ELSE ['KeyError', NULL, 'KeyError', 'KeyError', 'IndexError', 'JSONDecodeError'][post_id % 6 + 1] END AS choice_error
+  FROM posts"""
 )
 _head = (
     '{"model":"m","messages":[{"role":"system","content":"' + queries.SYSTEM_TEXT
@@ -314,8 +318,10 @@ ORACLES["translate_comments"] = with_(COMMENTS, ROUTED) + (
 LOCAL = f"local AS ({parsed_local('posts', 'post_id, content')})"
 ORACLES["resume_merge"] = posts_sql(
     """SELECT p.post_id, coalesce(p.sentiment, d.sentiment) AS sentiment, coalesce(p.score, d.score) AS score
-FROM posts p LEFT JOIN (SELECT content, arg_min(sentiment, post_id) AS sentiment, arg_min(score, post_id) AS score
-  FROM local WHERE sentiment <> 'unknown' AND content IS NOT NULL GROUP BY content) d ON p.content = d.content""",
+FROM posts p LEFT JOIN (SELECT * FROM (SELECT content, sentiment, found AS score,
+    row_number() OVER (PARTITION BY content ORDER BY found IS NULL, post_id) AS rn
+    FROM (SELECT *, CASE WHEN post_id % 5 <> 0 THEN score END AS found FROM local)
+    WHERE sentiment <> 'unknown' AND content IS NOT NULL) WHERE rn = 1) d ON p.content = d.content""",
     LOCAL,
 )
 
@@ -397,3 +403,16 @@ described AS (SELECT l.topic, l.word, o.word AS other,
   FROM lists l JOIN lists o ON l.topic = o.topic LEFT JOIN joint j ON j.word = l.word AND j.other = o.word
   JOIN joint w ON w.word = l.word AND w.other = l.word JOIN joint v ON v.word = o.word AND v.other = o.word)""",
 )
+
+ORACLES["relevance_by_lang"] = posts_sql(
+    """SELECT lang, word, term_freq, round(relevance, 6) AS relevance, round(saliency, 6) AS saliency,
+  round(topic_of_word, 6) AS topic_of_word, round(topic_share, 6) AS topic_share
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY relevance DESC, word) AS rank FROM scored) WHERE rank <= 30""",
+    TEXTS,
+    """counted AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(tokens) AS word FROM texts) GROUP BY ALL),
+langs AS (SELECT lang, sum(n) AS n_lang, sum(sum(n)) OVER () AS whole FROM counted GROUP BY lang),
+both AS (SELECT lang, word, n, n_lang, whole, sum(n) OVER (PARTITION BY word) AS term_freq FROM counted JOIN langs USING (lang)),
+scored AS (SELECT lang, word, CAST(term_freq AS BIGINT) AS term_freq, n / term_freq AS topic_of_word, n_lang / whole AS topic_share,
+  0.6::DOUBLE * ln(n / n_lang) + 0.4::DOUBLE * ln(n / n_lang * whole / term_freq) AS relevance,
+  sum(n * ln(n / (term_freq * (n_lang / whole)))) OVER (PARTITION BY word) / whole AS saliency FROM both)""",
+)

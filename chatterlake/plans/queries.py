@@ -221,7 +221,7 @@ QUERIES["lda_tokens"] = _per_post(lambda: [_joined(_topic_tokens()).alias("token
 @query
 def segment_with_dictionary(spark, sf_dir):
     rows = posts(spark, sf_dir, ("post_id", "content"))
-    cut = segmentation.with_tokens(rows, "content", word_table(spark, USER_WORDS), "post_id")
+    cut = segmentation.with_tokens(rows, "content", word_table(spark, USER_WORDS))
     return cut.select("post_id", _joined(F.col("tokens")).alias("tokens"))
 
 
@@ -256,15 +256,20 @@ def reply_text(spark, sf_dir):
     choice = lambda c: F.struct(F.array(F.struct(F.struct(c.alias("content")).alias("message"))).alias("choices"))
     content = F.col("content")
     body = (
-        F.when(F.col("post_id") % 3 == 0, F.to_json(message(content)))
-        .when(F.col("post_id") % 3 == 1, F.to_json(choice(content)))
-        .otherwise(F.lit('{"error":"none"}'))
+        F.when(F.col("post_id") % 6 == 0, F.to_json(message(content)))
+        .when(F.col("post_id") % 6 == 1, F.to_json(choice(content)))
+        .when(F.col("post_id") % 6 == 2, F.lit('{"error":"none"}'))
+        .when(F.col("post_id") % 6 == 3, F.lit('{"message":null}'))
+        .when(F.col("post_id") % 6 == 4, F.lit('{"choices":[]}'))
+        .otherwise(F.lit("no json"))
     )
     rows = posts(spark, sf_dir, ("post_id", "content")).withColumn("body", body)
     return rows.select(
         "post_id",
         replies.reply_text("body").alias("text"),
         replies.first_choice_text("body").alias("choice_text"),
+        replies.broken_reply("body").getField("type").alias("error"),
+        replies.broken_choice("body").getField("type").alias("choice_error"),
     )
 
 
@@ -350,7 +355,7 @@ def resume_merge(spark, sf_dir):
     parsed = replies.parse_local("reply")
     known = F.when(parsed.sentiment != fv.UNKNOWN, parsed.sentiment)
     done = posts(spark, sf_dir, ("post_id", "content", "reply")).select(
-        "post_id", "content", known.alias("sentiment"), F.when(known.isNotNull(), parsed.score).alias("score")
+        "post_id", "content", known.alias("sentiment"), F.when(known.isNotNull() & (F.col("post_id") % 5 != 0), parsed.score).alias("score")
     )
     rows = posts(spark, sf_dir, ("post_id", "content", "sentiment", "score"))
     return resuming.merge_results(rows, done, ["content"], "post_id").select("post_id", "sentiment", "score")
@@ -470,17 +475,14 @@ def coherence_by_lang(spark, sf_dir):
     return scores.select("topic", F.round("coherence", 6).alias("coherence"))
 
 
-SWEEP_COUNTS = (3, 5, 8)
-SWEEP_PASSES = 1
-
-
 @query
 def topic_sweep(spark, sf_dir):
-    return topics.sweep(_topic_texts(spark, sf_dir), SWEEP_COUNTS, SWEEP_PASSES)
+    """All 18 topic counts with all passes."""
+    return topics.sweep(_topic_texts(spark, sf_dir))
 
 
 def _model(shared: topics.Corpus, k: int = 5):
-    return topics.fit(shared.features, shared.n_texts, k, passes=SWEEP_PASSES)
+    return topics.fit(shared.features, k)
 
 
 @query
@@ -500,4 +502,22 @@ def topic_coherence(spark, sf_dir):
 def topic_relevance(spark, sf_dir):
     with topics.corpus(_topic_texts(spark, sf_dir)) as shared:
         model = _model(shared)
-        return topics.topic_terms(model, shared.words, topics.topic_shares(model, shared.features))
+        return topics.topic_terms(topics.term_weights(model, shared.words), topics.topic_shares(model, shared.features))
+
+
+@query
+def relevance_by_lang(spark, sf_dir):
+    """The words of each language by relevance: the measure with languages as topics, so exact."""
+    with topics.kept(_topic_texts(spark, sf_dir, "lang")) as texts:
+        counted = texts.select("lang", F.explode("tokens").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+        totals = sorted(counted.groupBy("lang").agg(F.sum("n").alias("n")).collect(), key=lambda r: r.lang)  # few languages
+        whole = sum(r.n for r in totals)
+        shares = spark.createDataFrame(
+            [(i, float(r.n), r.n / whole) for i, r in enumerate(totals)], "topic int, tokens double, share double"
+        )
+        weight = lambda r: F.coalesce(F.sum(F.when(F.col("lang") == r.lang, F.col("n"))), F.lit(0)) / F.lit(float(r.n))
+        weights = counted.groupBy("word").agg(F.array(*[weight(r) for r in totals]).alias("weights"))
+        terms = topics.topic_terms(weights, shares)
+        langs = F.array(*[F.lit(r.lang) for r in totals])
+        rounded = [F.round(c, 6).alias(c) for c in ("relevance", "saliency", "topic_of_word", "topic_share")]
+        return terms.select(F.get(langs, "topic").alias("lang"), "word", F.round("term_freq").cast("long").alias("term_freq"), *rounded)

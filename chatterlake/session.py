@@ -15,6 +15,7 @@ def local_session(cpus: int | str = "*", app: str = "chatterlake", **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        "spark.sql.legacy.javaCharsets": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.driver.memory": "12g",
         "spark.ui.enabled": "false",

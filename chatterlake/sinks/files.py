@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import posixpath
 
 from pyspark.ml.clustering import LDAModel
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from chatterlake.functions import fixed_values as fv
 from chatterlake.operators.splitting import labelled
 from chatterlake.operators.topics import topic_lines
-from chatterlake.sources.tables import path_exists
+from chatterlake.sources.tables import names_in
 
 BOM = "\ufeff"
 
@@ -32,13 +33,12 @@ def write_csv(
 
 
 def free_path(spark, base: str, suffix: str = fv.TRANSLATED_SUFFIX) -> str:
-    """``base`` + suffix, or the first of (1), (2), ... that does not exist yet."""
-    stem, extension = posixpath.splitext(base)
-    candidate, number = f"{stem}{suffix}{extension}", 0
-    while path_exists(spark, candidate):
-        number += 1
-        candidate = f"{stem}{suffix}({number}){extension}"
-    return candidate
+    """``base`` + suffix, or with the least of (1), (2), ... whose name its folder does not hold yet."""
+    folder, name = posixpath.split(base)
+    stem, extension = posixpath.splitext(name)
+    taken = names_in(spark, folder or ".")
+    names = itertools.chain([""], (f"({n})" for n in itertools.count(1)))
+    return posixpath.join(folder, next(f for n in names if (f := f"{stem}{suffix}{n}{extension}") not in taken))
 
 
 def write_new(df: DataFrame, base: str, suffix: str = fv.TRANSLATED_SUFFIX) -> str:

@@ -7,11 +7,13 @@ from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from chatterlake.sources.tables import null_literals, require_columns
 
 LEGACY = "GB18030"  # contains GBK and GB2312
+CHARSETS = "spark.sql.legacy.javaCharsets"
+INFERRED = ("bigint", "double", "boolean")  # the first that fits all cells of a column
 
 
 def files_by_encoding(spark: SparkSession, path: str) -> dict[bool, list[str]]:
@@ -28,6 +30,32 @@ def files_by_encoding(spark: SparkSession, path: str) -> dict[bool, list[str]]:
     return files
 
 
+def typed(df: DataFrame, schema: StructType | str | None = None) -> DataFrame:
+    """Text columns with null literals as null, cast to ``schema``, or to the narrowest type that fits all.
+
+    Nulls are found before types, so ``NaN`` in a number column is null.  A cell that does not fit the
+    schema is null.  Without a schema, one pass over the cells finds which of whole numbers, numbers
+    and truth values hold for all of a column.
+    """
+    df = null_literals(df)
+    if schema:
+        wanted = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        return df.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in wanted])
+    misfits = [
+        F.count(F.when(F.col(c).isNotNull() & F.col(c).try_cast(kind).isNull(), 1)).alias(f"{i}_{kind}")
+        for i, c in enumerate(df.columns)
+        for kind in INFERRED
+    ]
+    filled = [F.count(F.col(c)).alias(f"{i}_filled") for i, c in enumerate(df.columns)]
+    found = df.agg(*filled, *misfits).first()
+    kinds = {}
+    for i, c in enumerate(df.columns):
+        fits = [kind for kind in INFERRED if found[f"{i}_filled"] and not found[f"{i}_{kind}"]]
+        if fits:
+            kinds[c] = F.col(c).cast(fits[0])
+    return df.withColumns(kinds) if kinds else df
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
@@ -38,23 +66,27 @@ def read_csv(
 ) -> DataFrame:
     """CSV rows; null literals are null; ``columns`` must be present.
 
-    Without ``encoding`` each file is UTF-8 if all its lines are, else GB18030.  Types are inferred
-    without a ``schema``, at the price of one more pass.  A file with quoted line breaks cannot be
-    split, so very large inputs should come as many files, or with ``multi_line=False``.
+    Without ``encoding`` each file is UTF-8 if all its lines are, else GB18030.  All files are read as
+    text and typed together.  A file with quoted line breaks cannot be split, so very large inputs
+    should come as many files, or with ``multi_line=False``.
     """
+
     def read(paths: list[str], charset: str) -> DataFrame:
-        reader = spark.read.options(header=True, multiLine=multi_line, escape='"', encoding=charset)
-        return (reader.schema(schema) if schema else reader.options(inferSchema=True)).csv(paths)
+        options = {"header": True, "multiLine": multi_line, "escape": '"', "encoding": charset}
+        reader = spark.read.options(**options)
+        if schema:
+            wanted = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+            reader = reader.schema(StructType([StructField(f.name, StringType()) for f in wanted]))
+        return reader.csv(paths)
 
     files = {True: [path], False: []} if encoding else files_by_encoding(spark, path)
-    if encoding not in (None, "UTF-8") or files[False]:
-        # Spark 4 reads only a short list of charsets unless told otherwise
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    if (files[False] or encoding not in (None, "UTF-8")) and spark.conf.get(CHARSETS) != "true":
+        raise ValueError(f"set {CHARSETS} to true: Spark reads {encoding or LEGACY} only then")
     if not files[False]:
         df = read([path], encoding or "UTF-8")
     else:
         df = read(files[False], LEGACY)
         if files[True]:
             df = read(files[True], "UTF-8").unionByName(df)
-    df = null_literals(df)
+    df = typed(df, schema)
     return require_columns(df, columns) if columns else df

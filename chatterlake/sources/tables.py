@@ -31,15 +31,29 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that the caller has made."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def names_in(spark: SparkSession, folder: str) -> set[str]:
+    """The names of what a folder holds, by one listing; none if there is no such folder."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(folder)
+    store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return {entry.getPath().getName() for entry in store.listStatus(target)} if store.exists(target) else set()
+
+
 def earlier_results(spark: SparkSession, path: str, form: str = "parquet", **options) -> DataFrame | None:
     """Output of an earlier run, or None when there is none."""
     return read_table(spark, path, form, **options) if path_exists(spark, path) else None
 
 
 def require_columns(df: DataFrame, columns: Iterable[str]) -> DataFrame:
-    missing = [c for c in columns if c not in df.columns]
-    if missing:
-        raise ValueError(f"missing columns {missing}; the table has {df.columns}")
+    """The table itself; an error that names them if it lacks some of the columns."""
+    if lacking := set(columns).difference(df.columns):
+        raise ValueError(f"missing columns {sorted(lacking)}; the table has {df.columns}")
     return df
 
 

@@ -42,7 +42,7 @@ def score_stream(
     out: str,
     progress: str,
     scale: str = "local",
-    parallel: int = 8,
+    parallel: int | None = None,
 ) -> StreamingQuery:
     """Scores new rows into ``out``; ``answers`` keeps every reply, so no text is asked for twice.
 

@@ -71,7 +71,7 @@ def test_number_of_shuffles(spark, sf_dir, name, shuffles):
     assert len(re.findall(r"(?<!Broadcast)(?<!Reused)Exchange ", plan)) == shuffles, plan
 
 
-@pytest.mark.parametrize("sf, counts", [("0.001", (200, 180, 139, 87)), ("0.01", (1000, 900, 685, 399))])
+@pytest.mark.parametrize("sf, counts", [("0.001", (260, 240, 194, 108)), ("0.01", (1300, 1200, 961, 513))])
 def test_posts_hold_the_cases(spark, sf, counts):
     from pyspark.sql import functions as F
 

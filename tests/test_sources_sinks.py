@@ -29,6 +29,18 @@ def test_csv_folder_with_both_encodings(spark, tmp_path):
     assert df.count() == 4 and df.distinct().count() == 2
 
 
+def test_csv_nulls_come_before_types(spark, tmp_path):
+    cells = ["0.5", "NaN", "NA", "", "2"]
+    (tmp_path / "n.csv").write_text("id,score,whole,text\n" + "".join(f"{i},{c},{i if c else 'null'},{c}x\n" for i, c in enumerate(cells)))
+    for schema in (None, "id bigint, score double, whole bigint, text string"):
+        df = csv_files.read_csv(spark, str(tmp_path), schema=schema)
+        assert [k for _, k in df.dtypes] == ["bigint", "double", "bigint", "string"]
+        rows = df.orderBy("id").collect()
+        assert [r.score for r in rows] == [0.5, None, None, None, 2.0]
+        assert [r.whole for r in rows] == [0, 1, 2, None, 4]
+        assert df.agg(F.avg("score")).first()[0] == 1.25
+
+
 def test_missing_columns_and_paths(spark, tmp_path):
     (tmp_path / "a.csv").write_text("x,y\n1,2\n")
     with pytest.raises(ValueError, match=r"missing columns \['z'\].*\['x', 'y'\]"):
@@ -69,11 +81,19 @@ def test_word_counts_with_lists_and_tables(spark):
     assert [tuple(r) for r in counts] == want
     table = word_table(spark, ["今天"])
     assert [tuple(r) for r in words.by_frequency(words.word_counts(df, "c", table)).collect()] == want
-    many = [f"w{i}" for i in range(words.LITERAL_WORDS)] + ["今天"]
+    many = [f"w{i}" for i in range(2_000)] + ["今天"]
     assert [tuple(r) for r in words.by_frequency(words.word_counts(df, "c", many)).collect()] == want
     assert [r.word for r in words.top_words(words.word_counts(df, "c", ["今天"]), 2).collect()] == ["goal", "ABC1"]
 
 
+@pytest.mark.parametrize("stop", [[], ["a"], ["a", *(f"w{i}" for i in range(3_000))]])
+def test_null_words_stay_for_lists_of_any_length(spark, stop):
+    df = spark.createDataFrame([("a",), ("b",), (None,)], "word string")
+    want = {None, "b"} | (set() if stop else {"a"})
+    assert {r.word for r in words.without_words(df, stop).collect()} == want
+    assert {r.word for r in words.without_words(df, word_table(spark, stop)).collect()} == want
+
+
 def test_cleaning(spark):
     rows = [(1, "a"), (1, "a"), (2, None), (3, "　 "), (4, None), (5, "a"), (6, "b")]
     df = spark.createDataFrame(rows, "id int, c string")
@@ -155,12 +175,15 @@ def test_dictionary_segmentation_is_the_same_in_all_three_ways(spark):
     ]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, c string")
     table = word_table(spark, dictionary)
-    limits = {"pattern": (100, 100), "set": (0, 100), "join": (0, 2)}
-    for way, (pattern, broadcast) in limits.items():
-        got = segmentation.with_tokens(df, "c", table, "id", pattern, broadcast).orderBy("id").collect()
+    repeated = df.unionByName(df.withColumn("id", F.lit(None).cast("int")))  # keys and texts repeat
+    for way in ("pattern", "set", "join"):
+        got = segmentation.with_tokens(repeated, "c", table, way).collect()
+        assert len(got) == 2 * len(texts)
         for row in got:
             want = None if row.c is None else by_hand(row.c, [w for w in dictionary if w >= "一"])
             assert row.tokens == want, (way, row.c)
+        none = segmentation.with_tokens(df, "c", word_table(spark, []), way).orderBy("id").collect()
+        assert none[2].tokens == ["足球", "球足", "足球", "球比"]
 
 
 def test_csv_sink_in_row_order(spark, tmp_path):
