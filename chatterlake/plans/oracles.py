@@ -416,3 +416,8 @@ scored AS (SELECT lang, word, CAST(term_freq AS BIGINT) AS term_freq, n / term_f
   0.6::DOUBLE * ln(n / n_lang) + 0.4::DOUBLE * ln(n / n_lang * whole / term_freq) AS relevance,
   sum(n * ln(n / (term_freq * (n_lang / whole)))) OVER (PARTITION BY word) / whole AS saliency FROM both)""",
 )
+
+_own = "sentiment IS NOT NULL AND score IS NOT NULL"
+ORACLES["model_labels"] = posts_sql(
+    f"SELECT post_id, CASE WHEN {_own} THEN sentiment END AS own_sentiment, CASE WHEN {_own} THEN score END AS own_score, true AS valid FROM posts"
+)

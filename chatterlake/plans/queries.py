@@ -18,6 +18,7 @@ from chatterlake.operators import (
     resuming,
     routing,
     segmentation,
+    sentiment,
     splitting,
     topics,
     trends,
@@ -399,6 +400,19 @@ def enrich_called(spark, sf_dir):
     return scored.select("post_id", "sentiment", "score")
 
 
+@query
+def model_labels(spark, sf_dir):
+    """The model of the labelled posts for all others; shown is what does not depend on its weights."""
+    rows = posts(spark, sf_dir, ("post_id", "content", "sentiment", "score"))
+    model = sentiment.fit_labels(rows, "content")
+    own = F.col("sentiment").isNotNull() & F.col("score").isNotNull()
+    marked = rows.withColumns({"own_sentiment": F.when(own, F.col("sentiment")), "own_score": F.when(own, F.col("score"))})
+    found = sentiment.label_pending(marked, model, "content")
+    valid = F.col("sentiment").isin(*fv.LABELS) & F.col("score").between(0.0, 1.0)
+    unchanged = F.coalesce((F.col("own_sentiment") == F.col("sentiment")) & (F.col("own_score") == F.col("score")), F.lit(True))
+    return found.select("post_id", "own_sentiment", "own_score", (valid & unchanged).alias("valid"))
+
+
 @query
 def stream_scores(spark, sf_dir):
     """The same calls for all posts as they arrive, with stored answers."""
