@@ -15,7 +15,7 @@ from chatterlake.functions.tokens import segment
 from chatterlake.operators.resuming import with_result_columns
 from chatterlake.operators.splitting import is_pending
 
-FEATURES = 1 << 16
+FEATURES = 1 << 14
 MOST_ROWS = 200_000
 TOKENS, TARGET, GUESS, CHANCE = "__tokens", "__target", "__guess", "__chance"
 
@@ -42,7 +42,7 @@ def fit_labels(
         IDF(inputCol="__counts", outputCol="__weights"),
         LogisticRegression(
             featuresCol="__weights", labelCol=TARGET, predictionCol=GUESS, probabilityCol=CHANCE, rawPredictionCol="__raw",
-            family="multinomial", regParam=0.05, maxIter=40,
+            family="multinomial", regParam=0.05, maxIter=20,
         ),
     ]
     return Pipeline(stages=steps).fit(_with_tokens(bounded, text))

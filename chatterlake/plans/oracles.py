@@ -411,10 +411,10 @@ FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY relevance DESC, wo
     TEXTS,
     """counted AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(tokens) AS word FROM texts) GROUP BY ALL),
 langs AS (SELECT lang, sum(n) AS n_lang, sum(sum(n)) OVER () AS whole FROM counted GROUP BY lang),
-both AS (SELECT lang, word, n, n_lang, whole, sum(n) OVER (PARTITION BY word) AS term_freq FROM counted JOIN langs USING (lang)),
+joined AS (SELECT lang, word, n, n_lang, whole, sum(n) OVER (PARTITION BY word) AS term_freq FROM counted JOIN langs USING (lang)),
 scored AS (SELECT lang, word, CAST(term_freq AS BIGINT) AS term_freq, n / term_freq AS topic_of_word, n_lang / whole AS topic_share,
   0.6::DOUBLE * ln(n / n_lang) + 0.4::DOUBLE * ln(n / n_lang * whole / term_freq) AS relevance,
-  sum(n * ln(n / (term_freq * (n_lang / whole)))) OVER (PARTITION BY word) / whole AS saliency FROM both)""",
+  sum(n * ln(n / (term_freq * (n_lang / whole)))) OVER (PARTITION BY word) / whole AS saliency FROM joined)""",
 )
 
 _own = "sentiment IS NOT NULL AND score IS NOT NULL"
