@@ -34,6 +34,7 @@ HOT = 4_000  # anchors of one key that are sorted together, at most
 DIGIT, SHALLOW = 8, 16  # bytes
 SORTED_ROWS = 60_000
 FIRST_KEY = -(1 << 63)
+SLICE_BYTES = 1 << 20  # a byte of text takes about a hundred while its anchors are looked for
 
 
 # --- anchors ------------------------------------------------------------------------------------
@@ -61,7 +62,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def _anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in arrays.slices(batch, "text"):
+        for part in arrays.slices(batch, "text", SLICE_BYTES):
             data, offsets = arrays.texts_and_bytes(part.column("text"))
             places, keys = anchors(data, offsets)
             owner = np.searchsorted(offsets, places, "right") - 1
@@ -201,7 +202,7 @@ def _flat(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _window_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with the places of their anchors -> (window, id, at) of all windows around them."""
     for batch in batches:
-        for part in arrays.slices(batch, "text", arrays.SLICE_BYTES // 4):
+        for part in arrays.slices(batch, "text", SLICE_BYTES):
             data, offsets = arrays.texts_and_bytes(part.column("text"))
             n, at, _ = _flat(part)
             owner = np.repeat(np.arange(len(part)), n)
