@@ -14,7 +14,7 @@ HEADLINE = (
     "clean_text", "chinese_flag", "parse_local", "parse_remote", "word_freq", "top50_words",
     "stopword_removal", "segment_with_dictionary", "translation_route", "resume_merge", "enrich_local",
     "enrich_called", "bag_of_words", "vocabulary", "window_cooccurrence", "coherence_by_lang",
-    "topic_sweep", "topic_relevance",
+    "relevance_by_lang", "model_labels",
 )
 
 

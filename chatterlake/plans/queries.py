@@ -489,14 +489,18 @@ def coherence_by_lang(spark, sf_dir):
     return scores.select("topic", F.round("coherence", 6).alias("coherence"))
 
 
+SWEEP_COUNTS = fv.TOPIC_COUNTS
+SWEEP_PASSES = fv.LDA_PASSES
+
+
 @query
 def topic_sweep(spark, sf_dir):
     """All 18 topic counts with all passes."""
-    return topics.sweep(_topic_texts(spark, sf_dir))
+    return topics.sweep(_topic_texts(spark, sf_dir), SWEEP_COUNTS, SWEEP_PASSES)
 
 
 def _model(shared: topics.Corpus, k: int = 5):
-    return topics.fit(shared.features, k)
+    return topics.fit(shared.features, k, SWEEP_PASSES)
 
 
 @query
