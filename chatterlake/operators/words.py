@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from chatterlake.functions import fixed_values as fv
 from chatterlake.functions.text import col, drop_noise
 from chatterlake.functions.tokens import cloud_word, segment
+from chatterlake.sources.words import word_table
 
 
 def stop_word_union(base: DataFrame, user: DataFrame) -> DataFrame:
@@ -22,7 +23,7 @@ def without_words(df: DataFrame, words: Iterable[str] | DataFrame, column: str =
     One left anti join for every size of the set; Spark picks its strategy by the table's size.
     """
     if not isinstance(words, DataFrame):
-        words = df.sparkSession.createDataFrame([(w,) for w in words], "word string")
+        words = word_table(df.sparkSession, words)
     return df.join(words.select(F.col("word").alias(column)), column, "left_anti")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +13,9 @@ from chatterlake.sources.tables import path_exists
 
 
 def word_table(spark: SparkSession, words: Iterable[str]) -> DataFrame:
-    return spark.createDataFrame([(w,) for w in words], "word string").distinct()
+    """The distinct words as a table whose size Spark knows; null is no word."""
+    listed = [w for w in dict.fromkeys(words) if w is not None]
+    return spark.createDataFrame(pa.table({"word": pa.array(listed, pa.string())}))
 
 
 def read_words(spark: SparkSession, path: str, default: Iterable[str] = ()) -> DataFrame:
