@@ -9,9 +9,11 @@ similarity, clearly unlike pairs go, and all others are confirmed on their full
 Groups of copies may be large, so pairs within a group are never listed as such:
 
 * documents of equal sets are one class and only its smallest id goes on;
-* in each band bucket every class is compared with the bucket's smallest one only;
+* every class is compared with two only: of the smallest classes of its buckets, the smallest one and
+  the one it meets most often;
 * the links found so far give components, and only buckets that still hold several of them are looked
-  at again: there classes of the smaller components meet all others, in cells of bounded size.
+  at again: if a class there may be linked with another component, it is compared with all of that
+  component on full sets, in cells of bounded size.
 
 No link between two classes of a bucket is lost: they end up compared or already connected.
 """
@@ -36,7 +38,9 @@ BANDS, ROWS = 30, 6
 REGISTERS = BANDS * ROWS
 PERCENT = 85
 LEAST_ESTIMATE_MARGIN = 6.0  # standard deviations below the threshold that a candidate may be estimated
-CELL_PROBES, CELL_ROWS = 500, 2_000
+EQUAL_SLACK = 0.08  # a pair with this much fewer equal registers cannot be estimated as high
+CELL_PROBES, CELL_ROWS = 400, 800
+PAIRS_PER_TARGET = 256
 BROADCAST_IDS = 100_000  # eight bytes each
 
 _KEYS = np.random.default_rng(7).integers(1, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -158,35 +162,76 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _meet(percent: int):
-    """Of one cell: candidate pairs of a probe and any row of another component."""
+    """Of one cell: (probe, target) for each probe that may be linked with a row of another component.
+
+    Of two components the smaller one is asked: its row is the probe, the other component the target.
+    Two rows that meet in several bands are looked at in the first of them only.
+    """
     least = least_estimate(percent)
+    fewest = (least - EQUAL_SLACK) * REGISTERS
 
     def run(rows):
         import pandas as pd
 
         sketches = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(len(rows), REGISTERS)
-        reps, parts, sizes = (rows[c].to_numpy() for c in ("rep", "component", "n_shingles"))
-        probes, others = np.flatnonzero(rows["as_probe"]), np.flatnonzero(~rows["as_probe"])
-        found = []
+        reps, parts, sizes, weights = (rows[c].to_numpy() for c in ("rep", "component", "n_shingles", "weight"))
+        probes, others, band = np.flatnonzero(rows["as_probe"]), np.flatnonzero(~rows["as_probe"]), rows["band"].iloc[0]
+        found = set()
         for i in probes:
             n = sizes[others]
             fits = (parts[others] != parts[i]) & (100 * np.minimum(n, sizes[i]) >= percent * np.maximum(n, sizes[i]))
             near = others[fits]
+            equal = sketches[near] == sketches[i]
+            first_band = equal.reshape(-1, BANDS, ROWS).all(2).argmax(1)
+            near = near[(equal.sum(1) >= fewest) & (first_band == band)]
             if len(near):
                 one = np.broadcast_to(sketches[i], (len(near), REGISTERS))
                 likely = likely_similarity(one, sketches[near], np.full(len(near), float(sizes[i])), sizes[near].astype(float))
-                found += [(min(reps[i], reps[j]), max(reps[i], reps[j])) for j in near[likely >= least]]
-        return pd.DataFrame(found, columns=["a", "b"]).drop_duplicates()
+                for j in near[likely >= least]:
+                    asks = (weights[i], -parts[i]) < (weights[j], -parts[j])
+                    found.add((reps[i], parts[j]) if asks else (reps[j], parts[i]))
+        return pd.DataFrame(list(found), columns=["probe", "target"], dtype="int64")
+
+    return run
+
+
+def _compare(percent: int):
+    """Of one cell: a link for each probe that is similar enough to a member; the sets decide."""
+
+    def run(rows):
+        import pandas as pd
+
+        ids = rows["id"].to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in rows["members"]]
+        probes, members = np.flatnonzero(rows["as_probe"]), np.flatnonzero(~rows["as_probe"])
+        sizes = np.array([len(sets[i]) for i in members])
+        flat = np.concatenate([sets[i] for i in members]) if len(members) else np.zeros(0, np.uint64)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], np.repeat(np.arange(len(members)), sizes)[order]
+        found = []
+        for i in probes:
+            low, high = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
+            counts = high - low
+            at = np.repeat(high - np.cumsum(counts), counts) + np.arange(counts.sum())
+            shared = np.bincount(owner[at], minlength=len(members))
+            linked = np.flatnonzero(100 * shared >= percent * (sizes + len(sets[i]) - shared))
+            if len(linked):
+                found.append((ids[i], ids[members[linked]].min()))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return run
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; the sets are made from the whole texts."""
-    ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "pair-ids")
+def _full_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, members): the shingle sets of the given documents, from their whole texts."""
+    ids = stored(ids.distinct(), "wanted-ids")
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     sets = docs.join(wanted, "id", "left_semi").mapInArrow(_set_batches, "id long, members binary")
-    sets = stored(sets.dropDuplicates(["id"]), "pair-sets")
+    return stored(sets.dropDuplicates(["id"]), "full-sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
     one = sets.select(F.col("id").alias("a"), F.col("members").alias("a_members"))
     two = sets.select(F.col("id").alias("b"), F.col("members").alias("b_members"))
     both = pairs.join(one, "a").join(two, "b").select("a", "b", "a_members", "b_members")
@@ -200,35 +245,72 @@ def _likely_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFra
     return fits.select("a", "b", "a_n", "b_n", "a_sketch", "b_sketch").mapInArrow(_likely(percent), "a long, b long")
 
 
-def _cross_pairs(members: DataFrame, labelled: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of different components within a bucket."""
+def _questions(members: DataFrame, labelled: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(probe, target): a class that may be linked with some class of another component, found in a bucket."""
     rows = members.join(labelled, "rep")
     mixed = rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     mixed = stored(mixed.where("low < high").select("bucket"), "mixed")
     rows = rows.join(mixed, "bucket").join(classes.select("rep", "n_shingles", "sketch"), "rep")
-    rows = stored(rows.select("bucket", "rep", "component", "n_shingles", "sketch"), "mixed-rows")
+    rows = stored(rows.select("bucket", "band", "rep", "component", "weight", "n_shingles", "sketch"), "mixed-rows")
     parts = rows.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     per_bucket = parts.groupBy("bucket").agg(
         F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("rest")
     )
-    cells = stored(
-        per_bucket.select(
-            "bucket",
-            "largest",
-            F.ceil(F.col("rest") / CELL_PROBES).cast("int").alias("n_blocks"),
-            F.ceil(F.col("n") / CELL_ROWS).cast("int").alias("n_slices"),
-        ),
-        "mixed-cells",
+    cells = stored(per_bucket.select("bucket", "largest", *_cells("rest", "n")), "mixed-cells")
+    rows = rows.join(cells, "bucket").withColumnRenamed("rep", "id")
+    both = _dealt(rows.where("component != largest"), rows, "bucket", "band", "component", "weight", "n_shingles", "sketch")
+    both = both.withColumnRenamed("id", "rep")
+    return both.groupBy("bucket", "block", "slice").applyInPandas(_meet(percent), "probe long, target long").distinct()
+
+
+def _cells(probes: str, rows: str):
+    """In how many blocks the probes and in how many slices the rows of a group are cut."""
+    return (
+        F.ceil(F.col(probes) / CELL_PROBES).cast("int").alias("n_blocks"),
+        F.ceil(F.col(rows) / CELL_ROWS).cast("int").alias("n_slices"),
+    )
+
+
+def _dealt(probes: DataFrame, rows: DataFrame, group: str, *values: str) -> DataFrame:
+    """Each row of a slice in every block, each probe of a block in every slice: all of them meet once."""
+    pick = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = [group, "block", "slice", "id", *values, "as_probe"]
+    as_row = rows.withColumn("slice", pick("n_slices", 1)).withColumn("block", every("n_blocks")).withColumn("as_probe", F.lit(False))
+    as_probe = probes.withColumn("block", pick("n_blocks", 2)).withColumn("slice", every("n_slices")).withColumn("as_probe", F.lit(True))
+    return as_row.select(columns).union(as_probe.select(columns))
+
+
+def _answers(questions: DataFrame, labelled: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Links between probes and their targets, each probe compared with the whole target.
+
+    A target with few comparisons is written out as pairs; of a large one, blocks of probes and
+    slices of the component meet in cells with their full sets.
+    """
+    asked = questions.groupBy("target").agg(F.count("*").alias("n_probes"))
+    sized = labelled.groupBy("component").agg(F.count("*").alias("n_members"))
+    asked = asked.join(sized, F.col("target") == F.col("component")).drop("component")
+    large = F.col("n_probes") * F.col("n_members") > PAIRS_PER_TARGET
+    asked = stored(asked.withColumn("large", large), "targets")
+    members = labelled.join(asked, F.col("component") == F.col("target")).withColumnRenamed("rep", "id")
+    members = stored(members.select("target", "id", "n_probes", "n_members", "large"), "target-members")
+    probes = stored(questions.join(asked, "target").withColumnRenamed("probe", "id"), "probes")
+    sets = _full_sets(members.select("id").union(probes.select("id")), docs)
+    pairs = probes.where("NOT large").select("target", F.col("id").alias("x")).join(members.where("NOT large").select("target", F.col("id").alias("y")), "target")
+    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    links = _confirmed(pairs, sets, percent)
+    in_cells = lambda df: df.where("large").select("target", "id", *_cells("n_probes", "n_members")).join(sets, "id")
+    cells = _dealt(in_cells(probes), in_cells(members), "target", "members")
+    return links.union(cells.groupBy("target", "block", "slice").applyInPandas(_compare(percent), "a long, b long"))
+
+
+def _first_pairs(members: DataFrame) -> DataFrame:
+    """Each class with two firsts of its buckets: the smallest, and the one it meets in most buckets."""
+    met = members.where("rep != first").groupBy("rep", "first").agg(F.count("*").alias("n"))
+    best = met.groupBy("rep").agg(
+        F.min("first").alias("smallest"), F.max_by("first", F.struct("n", -F.col("first"))).alias("likeliest")
     )
-    rows = rows.join(cells, "bucket")
-    block, cut = F.pmod(F.xxhash64("rep"), "n_blocks").cast("int"), F.pmod(F.xxhash64("rep", F.lit(1)), "n_slices").cast("int")
-    columns = ["bucket", "block", "slice", "rep", "component", "n_shingles", "sketch", "as_probe"]
-    every = F.sequence(F.lit(0), F.col("n_blocks") - 1)
-    as_row = rows.withColumn("slice", cut).withColumn("block", F.explode(every)).withColumn("as_probe", F.lit(False))
-    slices = F.sequence(F.lit(0), F.col("n_slices") - 1)
-    as_probe = rows.where("component != largest").withColumn("block", block).withColumn("slice", F.explode(slices))
-    both = as_row.select(columns).union(as_probe.withColumn("as_probe", F.lit(True)).select(columns))
-    return both.groupBy("bucket", "block", "slice").applyInPandas(_meet(percent), "a long, b long").distinct()
+    return best.select(F.explode(F.array_distinct(F.array("smallest", "likeliest"))).alias("a"), F.col("rep").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -249,20 +331,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     classes = stored(grouped, "classes")
 
     band = lambda i: F.xxhash64(F.substring("sketch", i * ROWS + 1, ROWS), F.lit(i))
-    banded = stored(classes.select("rep", F.explode(F.array(*[band(i) for i in range(BANDS)])).alias("bucket")), "bands")
+    banded = stored(classes.select("rep", F.posexplode(F.array(*[band(i) for i in range(BANDS)])).alias("band", "bucket")), "bands")
     buckets = banded.groupBy("bucket").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last")
     members = stored(banded.join(stored(buckets.select("bucket", "first"), "buckets"), "bucket"), "bucket-members")
 
-    first_pairs = stored(members.where("rep != first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    first_pairs = stored(_first_pairs(members), "pairs")
     likely = stored(_likely_pairs(first_pairs, classes, percent), "likely")
-    links = stored(_confirmed(likely, docs, percent), "confirmed")
+    sets = _full_sets(likely.select(F.col("a").alias("id")).union(likely.select("b")), docs)
+    links = stored(_confirmed(likely, sets, percent), "confirmed")
     reached = components(links)
     labelled = members.select("rep").distinct().join(reached, F.col("rep") == F.col("node"), "left")
     labelled = stored(labelled.select("rep", F.coalesce("component", "rep").alias("component")), "labelled")
-    crossing = _cross_pairs(members.select("bucket", "rep"), labelled, classes, percent).join(first_pairs, ["a", "b"], "left_anti")
-    crossing = stored(crossing, "crossing")
-    if not crossing.isEmpty():
-        links = links.union(stored(_confirmed(crossing, docs, percent), "confirmed"))
+    weights = labelled.groupBy("component").agg(F.count("*").alias("weight"))
+    weighed = stored(labelled.join(weights, "component"), "weighed")
+    questions = stored(_questions(members.select("bucket", "band", "rep"), weighed, classes, percent), "questions")
+    if not questions.isEmpty():
+        links = links.union(stored(_answers(questions, labelled, docs, percent), "answers"))
         reached = components(links)
 
     named = classes.join(reached, F.col("rep") == F.col("node"), "left")
@@ -281,5 +365,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 def first_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that near-duplicate removal keeps, with all their columns."""
     found = near_duplicates(docs, key, text, percent)
-    gone = found.where("NOT kept").select(F.col(key).alias("__gone")).distinct()
-    return docs.join(stored(gone, "gone"), F.col(key) == F.col("__gone"), "left_anti")
+    gone = stored(found.where("NOT kept").select(F.col(key).alias("__gone")).distinct(), "gone")
+    there = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(there, F.col(key) == F.col("__gone"), "left_anti")
