@@ -24,11 +24,8 @@ from chatterlake.llm.storage import stored
 LIMIT = 18  # bits; at least the logarithm of the number of ids in use
 BLOCK = 512
 CHUNK_IDS = 1 << 19
-CACHED_PIECES = 700_000
+CACHED_PIECES = 400_000
 JOINED_BYTES = 1 << 16
-_cache: dict[tuple[str, int], dict[bytes, bytes]] = {}
-_tokenizers: dict = {}
-_sizes: dict[str, np.ndarray] = {}
 
 
 # --- ids ----------------------------------------------------------------------------------------
@@ -62,14 +59,16 @@ def _pieces(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def tokenizer(path: str):
-    if path not in _tokenizers:
+    """The tokenizer of a file, loaded once in each worker."""
+    loaded = arrays.worker_cache("tokenizers")
+    if path not in loaded:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = Tokenizer.from_file(path)
-    return _tokenizers[path]
+        loaded[path] = Tokenizer.from_file(path)
+    return loaded[path]
 
 
 def _encode_pieces(pieces: list[bytes], path: str, kind: np.dtype) -> list[bytes]:
@@ -109,10 +108,11 @@ def _encode_pieces(pieces: list[bytes], path: str, kind: np.dtype) -> list[bytes
 
 def _token_bytes(path: str) -> np.ndarray:
     """Bytes of text that each id stands for; this kind of vocabulary writes one character for each byte."""
-    if path not in _sizes:
+    sizes = arrays.worker_cache("token bytes")
+    if path not in sizes:
         encoder = tokenizer(path)
-        _sizes[path] = np.array([len(encoder.id_to_token(i) or "") for i in range(encoder.get_vocab_size(True))], np.int64)
-    return _sizes[path]
+        sizes[path] = np.array([len(encoder.id_to_token(i) or "") for i in range(encoder.get_vocab_size(True))], np.int64)
+    return sizes[path]
 
 
 def encode(texts: pa.Array, path: str, end_id: int, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +126,7 @@ def encode(texts: pa.Array, path: str, end_id: int, width: int) -> tuple[np.ndar
     pieces = pa.Array.from_buffers(
         pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))]
     ).dictionary_encode()
-    known = _cache.setdefault((path, width), {})
+    known = arrays.worker_cache(f"pieces of {path} in {width} bytes")
     distinct = pieces.dictionary.to_pylist()
     missing = [p for p in distinct if p not in known]
     if len(known) + len(missing) > CACHED_PIECES:
@@ -259,7 +259,7 @@ def _ids(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
 def _encode_batches(path: str, end_id: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in arrays.slices(batch, "text"):
+            for part in arrays.slices(batch, "text", arrays.SLICE_BYTES // 2):
                 ids, bounds = encode(part.column("text"), path, end_id, width)
                 yield pa.RecordBatch.from_arrays([part.column("key"), arrays.binary_array(ids, bounds)], ["key", "ids"])
 

@@ -37,7 +37,7 @@ def made(seed):
     return [row(i * 2 - 20, t) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("hot, at_once, buckets", [(2_000, 200_000, 1 << 21), (3, 40, 64)])
+@pytest.mark.parametrize("hot, at_once, buckets", [(2_000, 200_000, 1 << 19), (3, 40, 64)])
 def test_equals_brute_force(spark, monkeypatch, hot, at_once, buckets):
     for name, value in (("HOT_LIST", hot), ("HOT_CELL", 4), ("ROWS_AT_ONCE", at_once), ("PAIRS_AT_ONCE", at_once), ("BUCKETS", buckets), ("BROADCAST_IDS", hot)):
         monkeypatch.setattr(line_dedup, name, value)

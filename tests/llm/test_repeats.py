@@ -40,7 +40,7 @@ def made(seed):
     return [row(None if i == 3 else i * 2 - 9, t) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("hot", [4_000, 3])
+@pytest.mark.parametrize("hot", [100_000, 3])
 def test_equals_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(repeats, "HOT", hot)
     monkeypatch.setattr(repeats, "SORTED_ROWS", 50)
