@@ -27,27 +27,36 @@ from chatterlake.llm import arrays
 from chatterlake.llm.storage import stored
 
 PERCENT = 80
-BUCKETS = 1 << 21
+BUCKETS = 1 << 19
 HOT_LIST = 2_000  # lines that meet under one word in one task, at most
 HOT_CELL = 1_000
 PAIRS_AT_ONCE = 1 << 20
 ROWS_AT_ONCE = 200_000
 BROADCAST_IDS = 100_000
-BEFORE_ALL = -(1 << 63)
+OWNER_SHIFT = 42
 _U = np.uint64
 
 
 # --- lines --------------------------------------------------------------------------------------
+def _distinct(owner: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (owner, hash) in that order; one sort of a number made of both, which is checked."""
+    key = (owner.astype(np.uint64) << _U(OWNER_SHIFT)) | (hashes >> _U(64 - OWNER_SHIFT))
+    by = np.argsort(key)
+    key = key[by]
+    same = key[1:] == key[:-1]
+    if (same & (hashes[by][1:] != hashes[by][:-1])).any() or (len(owner) and int(owner[-1]) >> (64 - OWNER_SHIFT)):
+        by = np.lexsort((hashes, owner))
+        same = (owner[by][1:] == owner[by][:-1]) & (hashes[by][1:] == hashes[by][:-1])
+    first = by[np.append(True, ~same)[: len(by)]]
+    return owner[first], hashes[first]
+
+
 def _line_words(words: arrays.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (line, word) in line order; lines are numbered over all texts.  Also where lines begin."""
     breaks = np.flatnonzero(words.data == 10)
     starts = np.union1d(words.offsets[:-1][words.offsets[:-1] < len(words.data)], breaks + 1)
-    line = np.searchsorted(starts, words.starts, "right") - 1
-    hashes = words.hashes()
-    by = np.lexsort((hashes, line))
-    line, hashes = line[by], hashes[by]
-    new = np.append(True, (line[1:] != line[:-1]) | (hashes[1:] != hashes[:-1])) if len(line) else np.zeros(0, bool)
-    return line[new], hashes[new], starts
+    n_words = np.diff(np.append(np.searchsorted(words.starts, starts), len(words.starts)))
+    return *_distinct(np.repeat(np.arange(len(starts)), n_words), words.hashes()), starts
 
 
 def _cuts(line: np.ndarray) -> np.ndarray:
@@ -101,11 +110,7 @@ def _rarity_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def _one_line_words(words: arrays.Words) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (row, word) of rows of one line each."""
-    hashes, row = words.hashes(), np.repeat(np.arange(len(words.bounds) - 1), np.diff(words.bounds))
-    by = np.lexsort((hashes, row))
-    row, hashes = row[by], hashes[by]
-    new = np.append(True, (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1])) if len(row) else np.zeros(0, bool)
-    return row[new], hashes[new]
+    return _distinct(np.repeat(np.arange(len(words.bounds) - 1), np.diff(words.bounds)), words.hashes())
 
 
 def prefix_length(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -123,7 +128,8 @@ def _posting_batches(table, percent: int):
             for part in arrays.slices(batch, "text"):
                 row, hashes = _one_line_words(arrays.split_words(part.column("text")))
                 often = rarity[_bucket(hashes)]
-                by = np.lexsort((hashes, often, row))
+                # hashes rise within a row already, so a stable sort leaves equally rare words in their order
+                by = np.argsort(row << 32 | often.astype(np.int64), kind="stable")
                 row, hashes, often = row[by], hashes[by], often[by]
                 cuts = _cuts(row)
                 n = np.diff(np.append(cuts, len(row)))
@@ -264,10 +270,10 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     lines = docs.join(lists, "id").select("id", "text", "lines").mapInArrow(_text_batches, "id long, line long, text string")
     lines = stored(lines, "line-texts")
     counted = lines.mapInArrow(_rarity_batches, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    rows = counted.toPandas()  # BUCKETS rows at most
-    rarity = np.zeros(BUCKETS, np.int64)
-    rarity[rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
-    table = spark.sparkContext.broadcast(rarity.astype(np.uint32))
+    found = counted.select(F.col("bucket").cast("int"), F.least("n", F.lit((1 << 31) - 1)).cast("int").alias("n")).toArrow()
+    rarity = np.zeros(BUCKETS, np.uint32)  # of which there are as many rows at most
+    rarity[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    table = spark.sparkContext.broadcast(rarity)
 
     pairs = _meetings(lines.withColumn("asks", F.lit(True)), table, percent, every=False)
     matched = _matched(pairs, lines, percent)
