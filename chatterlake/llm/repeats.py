@@ -30,7 +30,7 @@ from chatterlake.llm.storage import stored
 LENGTH = 100
 KEY = 40
 SIDE = LENGTH - KEY  # bytes before and behind a key that its windows reach
-HOT = 4_000  # anchors of one key that are sorted together, at most
+HOT = 100_000  # anchors of one key that are sorted together, at most: about 100 MB
 DIGIT, SHALLOW = 8, 16  # bytes
 SORTED_ROWS = 60_000
 FIRST_KEY = -(1 << 63)
@@ -151,21 +151,25 @@ def _depth_names(groups: np.ndarray, rows: np.ndarray, depths: range) -> list[np
     return out
 
 
-def repeated_windows(groups: np.ndarray, places: np.ndarray, before: np.ndarray, behind: np.ndarray, room: np.ndarray, left: np.ndarray):
-    """(row, r) of each window that begins r bytes before a row's key and also begins earlier.
+def repeated_windows(
+    groups: np.ndarray, places: np.ndarray, before: np.ndarray, behind: np.ndarray, room: np.ndarray, left: np.ndarray
+) -> np.ndarray:
+    """Whether the window that begins r bytes before a row's key also begins earlier: one row each, r from 0.
 
     ``places``: rank of each row's place; ``before``: the bytes before the key, last one first, and
     ``behind`` those behind it; ``left`` and ``room``: how many of them belong to the text.
     """
     preceding = _depth_names(groups, before, range(SIDE + 1))
     following = _depth_names(groups, behind, range(SIDE + 1))
+    out = np.zeros((len(groups), SIDE + 1), bool)
     for r in range(SIDE + 1):
         fits = np.flatnonzero((left >= r) & (room >= SIDE - r))
         if len(fits):
             name = preceding[r][fits] * (len(groups) + 1) + following[SIDE - r][fits]
             by = np.lexsort((places[fits], name))
             again = np.append(False, name[by][1:] == name[by][:-1])
-            yield fits[by[again]], r
+            out[fits[by[again]], r] = True
+    return out
 
 
 def _context_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,32 +226,33 @@ def _window_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             )
 
 
-def _spans(ids: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
-    """Runs of neighbouring windows, as (id, start, end)."""
+def _spans(ids: np.ndarray, at: np.ndarray, repeated: np.ndarray) -> pa.RecordBatch:
+    """(id, start, end) of what the repeated windows around each key cover, touching ones together."""
+    edges = np.diff(np.pad(repeated, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    row, least = np.nonzero(edges == 1)
+    most = np.nonzero(edges == -1)[1] - 1  # both in the order of rows, then of r
+    ids, starts, ends = ids[row], at[row] - most, at[row] - least + LENGTH
     by = np.lexsort((starts, ids))
-    ids, starts = ids[by], starts[by]
-    new = np.append(True, (ids[1:] != ids[:-1]) | (starts[1:] > starts[:-1] + 1))
+    ids, starts, ends = ids[by], starts[by], ends[by]
+    new = np.append(True, (ids[1:] != ids[:-1]) | (starts[1:] > ends[:-1]))[: len(ids)]
     firsts = np.flatnonzero(new)
-    lasts = np.append(firsts[1:], len(ids)) - 1
-    return pa.RecordBatch.from_arrays([pa.array(ids[firsts]), pa.array(starts[firsts]), pa.array(starts[lasts] + LENGTH)], ["id", "start", "end"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(ids[firsts]), pa.array(starts[firsts]), pa.array(np.maximum.reduceat(ends, firsts) if len(firsts) else ends)],
+        ["id", "start", "end"],
+    )
 
 
 def _sort_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in key order -> spans of repeated windows; a key's rows are handled together."""
     held: list[pa.RecordBatch] = []
 
-    def done(rows: pa.Table) -> pa.RecordBatch | None:
+    def done(rows: pa.Table) -> pa.RecordBatch:
         key, ids, at, left, room = (rows.column(c).to_numpy() for c in ("key", "id", "at", "left", "room"))
         sides = np.frombuffer(b"".join(rows.column("sides").to_pylist()), np.uint8).reshape(len(rows), 2 * SIDE)
         groups = np.unique(key, return_inverse=True)[1]
         places = np.empty(len(rows), np.int64)
         places[np.lexsort((at, ids))] = np.arange(len(rows))
-        found = list(repeated_windows(groups, places, sides[:, :SIDE], sides[:, SIDE:], room, left))
-        if not found:
-            return None
-        which = np.concatenate([rows_ for rows_, _ in found])
-        starts = np.concatenate([at[rows_] - r for rows_, r in found])
-        return _spans(ids[which], starts) if len(which) else None
+        return _spans(ids, at, repeated_windows(groups, places, sides[:, :SIDE], sides[:, SIDE:], room, left))
 
     def flush(last: bool) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(held)
@@ -257,8 +262,8 @@ def _sort_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             key = rows.column("key").to_numpy()
             cut = int(np.flatnonzero(key == key[-1])[0])
             held.extend(rows.slice(cut).to_batches())
-        if cut and (spans := done(rows.slice(0, cut))) is not None:
-            yield spans
+        if cut:
+            yield done(rows.slice(0, cut))
 
     for batch in batches:
         if len(batch):
