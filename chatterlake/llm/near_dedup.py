@@ -260,7 +260,8 @@ def _questions(members: DataFrame, labelled: DataFrame, classes: DataFrame, perc
     rows = rows.join(cells, "bucket").withColumnRenamed("rep", "id")
     both = _dealt(rows.where("component != largest"), rows, "bucket", "band", "component", "weight", "n_shingles", "sketch")
     both = both.withColumnRenamed("id", "rep")
-    return both.groupBy("bucket", "block", "slice").applyInPandas(_meet(percent), "probe long, target long").distinct()
+    cells = _over_all_tasks(both, "bucket")
+    return cells.groupBy("bucket", "block", "slice").applyInPandas(_meet(percent), "probe long, target long").distinct()
 
 
 def _cells(probes: str, rows: str):
@@ -281,6 +282,12 @@ def _dealt(probes: DataFrame, rows: DataFrame, group: str, *values: str) -> Data
     return as_row.select(columns).union(as_probe.select(columns))
 
 
+def _over_all_tasks(cells: DataFrame, group: str) -> DataFrame:
+    """Cells are few bytes but much work, so they are not joined to tasks by their bytes."""
+    tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cells.repartition(tasks, group, "block", "slice")
+
+
 def _answers(questions: DataFrame, labelled: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Links between probes and their targets, each probe compared with the whole target.
 
@@ -300,7 +307,7 @@ def _answers(questions: DataFrame, labelled: DataFrame, docs: DataFrame, percent
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     links = _confirmed(pairs, sets, percent)
     in_cells = lambda df: df.where("large").select("target", "id", *_cells("n_probes", "n_members")).join(sets, "id")
-    cells = _dealt(in_cells(probes), in_cells(members), "target", "members")
+    cells = _over_all_tasks(_dealt(in_cells(probes), in_cells(members), "target", "members"), "target")
     return links.union(cells.groupBy("target", "block", "slice").applyInPandas(_compare(percent), "a long, b long"))
 
 
