@@ -156,7 +156,7 @@ def repeated_windows(
 ) -> np.ndarray:
     """Whether the window that begins r bytes before a row's key also begins earlier: one row each, r from 0.
 
-    ``places``: rank of each row's place; ``before``: the bytes before the key, last one first, and
+    ``places``: rank of each row's place, equal for equal ones; ``before``: the bytes before the key, last one first, and
     ``behind`` those behind it; ``left`` and ``room``: how many of them belong to the text.
     """
     preceding = _depth_names(groups, before, range(SIDE + 1))
@@ -167,8 +167,9 @@ def repeated_windows(
         if len(fits):
             name = preceding[r][fits] * (len(groups) + 1) + following[SIDE - r][fits]
             by = np.lexsort((places[fits], name))
-            again = np.append(False, name[by][1:] == name[by][:-1])
-            out[fits[by[again]], r] = True
+            new = np.append(True, name[by][1:] != name[by][:-1])
+            earliest = places[fits[by[new]]][np.cumsum(new) - 1]
+            out[fits[by[places[fits[by]] > earliest]], r] = True
     return out
 
 
@@ -177,8 +178,7 @@ def _context_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     for batch in batches:
         for part in arrays.slices(batch, "text"):
             data, offsets = arrays.texts_and_bytes(part.column("text"))
-            n, at, keys = _flat(part)
-            owner = np.repeat(np.arange(len(part)), n)
+            owner, at, keys = _own_anchors(part, data, offsets)
             place = offsets[owner] + at
             left, room = np.minimum(at, SIDE), np.minimum(offsets[owner + 1] - place - KEY, SIDE)
             padded = np.concatenate([np.zeros(SIDE, np.uint8), data, np.zeros(SIDE + KEY, np.uint8)])
@@ -203,13 +203,22 @@ def _flat(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return n, flat.field("at").to_numpy().astype(np.int64), flat.field("key").to_numpy()
 
 
+def _own_anchors(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each anchor's row, place and key, without those that came from another row of the same id."""
+    n, at, keys = _flat(part)
+    owner = np.repeat(np.arange(len(part)), n)
+    inside = np.flatnonzero(at + KEY <= np.diff(offsets)[owner])
+    place = offsets[owner[inside]] + at[inside]
+    own = inside[arrays.span_hashes(data, place, place + KEY).view(np.int64) == keys[inside]]
+    return owner[own], at[own], keys[own]
+
+
 def _window_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with the places of their anchors -> (window, id, at) of all windows around them."""
     for batch in batches:
         for part in arrays.slices(batch, "text", SLICE_BYTES):
             data, offsets = arrays.texts_and_bytes(part.column("text"))
-            n, at, _ = _flat(part)
-            owner = np.repeat(np.arange(len(part)), n)
+            owner, at, _ = _own_anchors(part, data, offsets)
             place = offsets[owner] + at
             starts = np.unique((place[:, None] - np.arange(SIDE + 1)).reshape(-1))
             owner = np.searchsorted(offsets, starts, "right") - 1
@@ -251,7 +260,8 @@ def _sort_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         sides = np.frombuffer(b"".join(rows.column("sides").to_pylist()), np.uint8).reshape(len(rows), 2 * SIDE)
         groups = np.unique(key, return_inverse=True)[1]
         places = np.empty(len(rows), np.int64)
-        places[np.lexsort((at, ids))] = np.arange(len(rows))
+        by = np.lexsort((at, ids))
+        places[by] = np.cumsum(np.append(0, (ids[by][1:] != ids[by][:-1]) | (at[by][1:] != at[by][:-1])))
         return _spans(ids, at, repeated_windows(groups, places, sides[:, :SIDE], sides[:, SIDE:], room, left))
 
     def flush(last: bool) -> Iterator[pa.RecordBatch]:
@@ -290,7 +300,8 @@ def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = batch.column("text").cast(pa.large_binary())
         for key, text, spans in zip(batch.column("key").to_pylist(), texts, batch.column("spans").to_pylist()):
             raw = text.as_py() or b""
-            cut, kept, at = _merged(spans), [], 0
+            cut = [(start, min(end, len(raw))) for start, end in _merged(spans) if start < len(raw)]
+            kept, at = [], 0
             for start, end in cut:
                 kept.append(raw[at:start])
                 at = end
