@@ -20,6 +20,7 @@ No link between two classes of a bucket is lost: they end up compared or already
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +35,8 @@ from chatterlake.llm.storage import stored
 BASE = 1.1
 RATE = 20.0  # the draws' rate; sets the scale's zero
 LIMIT = 255
-BANDS, ROWS = 30, 6
-REGISTERS = BANDS * ROWS
+REGISTERS = 180
+MOST_MISSED = 1e-6  # of pairs at exactly the threshold, those that may share no band
 PERCENT = 85
 LEAST_ESTIMATE_MARGIN = 6.0  # standard deviations below the threshold that a candidate may be estimated
 EQUAL_SLACK = 0.08  # a pair with this much fewer equal registers cannot be estimated as high
@@ -87,6 +88,15 @@ def likely_similarity(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.nda
     return (low + high) / 2
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """Bands and registers in each: as long as at the threshold at most ``MOST_MISSED`` of pairs share no band."""
+    c = (BASE - 1) / BASE
+    equal = 1 + 2 * math.log1p(-c * (1 - percent / 100) / 2) / math.log(BASE)  # of one register, for sets of one size
+    fit = [n for n in range(1, 9) if REGISTERS % n == 0 and (1 - max(equal, 0.0) ** n) ** (REGISTERS // n) <= MOST_MISSED]
+    rows = max(fit, default=1)
+    return REGISTERS // rows, rows
+
+
 def least_estimate(percent: int) -> float:
     j = percent / 100
     return j - LEAST_ESTIMATE_MARGIN * (j * (1 - j) / REGISTERS) ** 0.5
@@ -169,6 +179,7 @@ def _meet(percent: int):
     """
     least = least_estimate(percent)
     fewest = (least - EQUAL_SLACK) * REGISTERS
+    n_bands, n_rows = banding(percent)
 
     def run(rows):
         import pandas as pd
@@ -182,7 +193,7 @@ def _meet(percent: int):
             fits = (parts[others] != parts[i]) & (100 * np.minimum(n, sizes[i]) >= percent * np.maximum(n, sizes[i]))
             near = others[fits]
             equal = sketches[near] == sketches[i]
-            first_band = equal.reshape(-1, BANDS, ROWS).all(2).argmax(1)
+            first_band = equal.reshape(-1, n_bands, n_rows).all(2).argmax(1)
             near = near[(equal.sum(1) >= fewest) & (first_band == band)]
             if len(near):
                 one = np.broadcast_to(sketches[i], (len(near), REGISTERS))
@@ -337,8 +348,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     grouped = usable.groupBy("set_id", "n_shingles", "sketch").agg(F.min("id").alias("rep"))
     classes = stored(grouped, "classes")
 
-    band = lambda i: F.xxhash64(F.substring("sketch", i * ROWS + 1, ROWS), F.lit(i))
-    banded = stored(classes.select("rep", F.posexplode(F.array(*[band(i) for i in range(BANDS)])).alias("band", "bucket")), "bands")
+    n_bands, n_rows = banding(percent)
+    band = lambda i: F.xxhash64(F.substring("sketch", i * n_rows + 1, n_rows), F.lit(i))
+    banded = stored(classes.select("rep", F.posexplode(F.array(*[band(i) for i in range(n_bands)])).alias("band", "bucket")), "bands")
     buckets = banded.groupBy("bucket").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last")
     members = stored(banded.join(stored(buckets.select("bucket", "first"), "buckets"), "bucket"), "bucket-members")
 

@@ -1,4 +1,7 @@
+import random
+
 import numpy as np
+import pytest
 
 from chatterlake.llm import near_dedup
 from cases import frame, near_copies, row, words
@@ -72,3 +75,18 @@ def test_sketch_of_union_is_the_larger_register():
     sets = np.arange(1, 2001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     one, two = near_dedup.registers(sets, np.array([0, 1000, 2000]))
     assert (near_dedup.registers(sets, np.array([0, 2000]))[0] == np.maximum(one, two)).all()
+
+
+@pytest.mark.parametrize("percent", [50, 80])
+def test_bands_follow_the_threshold(spark, percent):
+    """Pairs barely at the threshold, which the bands for 85 percent would often miss."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(40):
+        base = [f"w{rng.randrange(10**9)}" for _ in range(304)]
+        n = next(n for n in range(300, 0, -1) if 100 * (300 - n) >= percent * (300 + n))  # shingles that the copy has of its own
+        rows += [row(2 * i, " ".join(base)), row(2 * i + 1, " ".join(base[n:] + [f"v{rng.randrange(10**9)}" for _ in range(n)]))]
+    got = near_dedup.near_duplicates(frame(spark, rows), percent=percent)
+    assert {(r.doc_id, r.component_id) for r in got.collect()} == {(r[0], r[0] // 2 * 2) for r in rows}
+    bands, registers = near_dedup.banding(percent)
+    assert bands * registers == near_dedup.REGISTERS and near_dedup.banding(85) == (30, 6)
