@@ -33,8 +33,9 @@ SHARD_GRAMS = 2_000_000  # of 16 bytes
 TASK_GRAMS = 2_000_000  # counts that a task holds before it hands them on
 BROADCAST_IDS = 1_000_000
 PRIOR_SYMBOLS = 60  # symbols at the language's median that each text's own are averaged with
-QUANTILE, SPREAD = 0.95, 4.0
-LEAST_TEXTS = 30  # held-out trusted texts that a language needs for limits of its own
+QUANTILE = 0.99  # of the held-out trusted texts about 1 in 100 is above a language's limits, and 1 below
+LEAST_TEXTS = 50  # held-out trusted texts that a quantile needs
+FEW_QUANTILE, FEW_SPREAD = 0.95, 4.0  # with fewer texts in all, limits are so many times as far from the median as this quantile
 HELD_OUT = 5  # of the trusted texts one in so many, by a hash of the key, sets limits instead of training
 
 
@@ -224,15 +225,17 @@ def costs(docs: DataFrame) -> DataFrame:
 # --- the verdict --------------------------------------------------------------------------------
 def judged(
     docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
-    quantile: float = QUANTILE, spread: float = SPREAD,
+    quantile: float = QUANTILE,
 ) -> DataFrame:
     """key, lang, n_symbols, perplexity, limit, kept: one row per distinct key of ``docs``.
 
     ``trusted``: the keys of the trusted documents, under the same name.  Most train the model, the
-    others set each language's limits, which lie ``spread`` times as far from the median of these texts
-    as their upper and lower ``quantile`` do, on the logarithmic scale; a text outside them is rejected.  Short texts say little, so each is
-    averaged with ``PRIOR_SYMBOLS`` symbols at the median.  A language of few trusted texts takes the
-    limits of all texts together; null is a language of its own.
+    others set each language's limits: the upper and lower ``quantile`` of their rates.  A text outside
+    them is rejected.  Short texts say little, so each rate, also those that set the limits, is averaged
+    with ``PRIOR_SYMBOLS`` symbols at the language's median.  A language of fewer than ``LEAST_TEXTS``
+    held-out texts takes the limits of all texts together; null is a language of its own.  If all
+    together are fewer, the quantile cannot be told, and the limits lie ``FEW_SPREAD`` times as far from
+    the median as the ``FEW_QUANTILE``.
 
     Texts without words, null ones too, cannot be judged and are kept, with no perplexity; so are all
     texts if nothing is trusted.  Rows that share a key count as one document, and those without a
@@ -249,23 +252,34 @@ def judged(
     found = stored(found.withColumn("rate", F.when(F.col("symbols") > 0, F.col("cost") / F.col("symbols"))), "rates")
 
     base = found.where("NOT trains AND rate IS NOT NULL")
-    places = lambda c: F.percentile_approx(c, [1 - quantile, 0.5, quantile], 10_000)
-    of_lang = base.groupBy("lang").agg(places("rate").alias("own"), F.count("*").alias("n"))
-    of_all = base.agg(places("rate").alias("all"))
-    limits = stored(of_lang, "limits")
-    row = of_all.first()
-    general = F.array(*[F.lit(x) for x in row["all"]]) if row["all"] else F.lit(None).cast("array<double>")
-    limits = limits.select(F.col("lang").alias("__lang"), F.when(F.col("n") >= LEAST_TEXTS, F.col("own")).alias("own"))
-    out = found.join(limits, F.col("lang").eqNullSafe(F.col("__lang")), "left").withColumn("q", F.coalesce("own", general))
+    places = lambda c, *at: F.percentile_approx(c, list(at), 10_000)
+    averaged = lambda middle: (F.col("cost") + PRIOR_SYMBOLS * middle) / (F.col("symbols") + PRIOR_SYMBOLS)
+    medians = base.groupBy("lang").agg(F.percentile_approx("rate", 0.5, 10_000).alias("middle"), F.count("*").alias("n"))
+    medians = stored(medians.where(F.col("n") >= LEAST_TEXTS).select(F.col("lang").alias("__lang"), "middle"), "medians")
+    own_median = F.col("lang").eqNullSafe(F.col("__lang"))
+    limits = base.join(F.broadcast(medians), own_median).groupBy("__lang", "middle")
+    limits = stored(limits.agg(places(averaged(F.col("middle")), 1 - quantile, quantile).alias("q")), "limits")
+    limits = limits.select("__lang", F.array(F.get("q", 0), F.col("middle"), F.get("q", 1)).alias("own"))
+
+    row = base.agg(places("rate", 1 - FEW_QUANTILE, 0.5, FEW_QUANTILE).alias("q"), F.count("*").alias("n")).first()
+    general = F.lit(None).cast("array<double>")
+    if row["n"]:
+        low, middle, high = row["q"]
+        if row["n"] >= LEAST_TEXTS:
+            low, high = base.agg(places(averaged(F.lit(middle)), 1 - quantile, quantile)).first()[0]
+        else:
+            low, high = (middle + FEW_SPREAD * (x - middle) for x in (low, high))
+        general = F.array(*[F.lit(x) for x in (low, middle, high)])
+    out = found.join(F.broadcast(limits), own_median, "left").withColumn("q", F.coalesce("own", general))
     low, middle, high = (F.get("q", i) for i in range(3))
-    rate = (F.col("cost") + PRIOR_SYMBOLS * middle) / (F.col("symbols") + PRIOR_SYMBOLS)
-    inside = (rate <= middle + spread * (high - middle)) & (rate >= middle - spread * (middle - low))
+    rate = averaged(middle)
+    inside = (rate <= high) & (rate >= low)
     return out.select(
         F.col("id").alias(key),
         F.col("lang").alias(lang),
         F.col("symbols").alias("n_symbols"),
         F.exp("rate").alias("perplexity"),
-        F.exp(middle + spread * (high - middle)).alias("limit"),
+        F.exp(high).alias("limit"),
         F.coalesce(inside, F.lit(True)).alias("kept"),
     )
 

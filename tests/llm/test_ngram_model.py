@@ -84,6 +84,23 @@ def test_held_out_quality(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, k in got.items() if k}
 
 
+def test_limits_are_the_quantiles_of_each_language(spark):
+    """Texts with an odd word in four are far outside the clean texts, though no plain noise."""
+    rng, tongues = random.Random(9), {"en": language(4), None: language(5)}
+    odd = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    good = [(i, tongues[g](rng.randint(30, 90)), g) for i, g in enumerate(["en", None] * 450)]
+    bad = [(2000 + i, " ".join(odd() if rng.random() < 0.25 else w for w in tongues[g](60).split(" ")), g) for i, g in enumerate(["en", None] * 30)]
+    docs = spark.createDataFrame(good + bad, "doc_id long, text string, lang string")
+    rows = m.judged(docs, docs.where("doc_id < 700").select("doc_id")).collect()
+    kept = {r.doc_id: r.kept for r in rows}
+    assert sum(not kept[i] for i, *_ in bad) >= 0.9 * len(bad)
+    assert sum(kept[i] for i, *_ in good[700:]) >= 0.9 * 200
+    limits = {r.lang: r.limit for r in rows}
+    assert len({(r.lang, r.limit) for r in rows}) == 2
+    for g in tongues:  # a quantile is within the texts
+        assert limits[g] <= max(r.perplexity for r in rows if r.lang == g and r.doc_id < 900)
+
+
 def test_odd_rows(spark):
     rows = near_copies(14) + [row(None, "no key"), row(7, "twice"), row(7, "twice")]
     docs = frame(spark, rows)
