@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatterlake.llm import decontamination, line_dedup, mixing, near_dedup, ngram_model, quality_rules, repeats, sharding, token_output, warc
+from chatterlake.llm import (
+    decontamination,
+    importance,
+    line_dedup,
+    mixing,
+    near_dedup,
+    ngram_model,
+    quality_rules,
+    repeats,
+    sharding,
+    token_output,
+    vector_codes,
+    vector_dedup,
+    warc,
+)
 from chatterlake.llm.storage import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,6 +112,21 @@ def op10_setsketch_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_trie_vector_codes(spark, sf_dir):
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_multi_index_near_vectors(spark, sf_dir):
+    return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_importance_resampling(spark, sf_dir):
+    return importance.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 # --- SQL --------------------------------------------------------------------------------------
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -160,3 +189,61 @@ SELECT documents.doc_id, coalesce(n.n, 0) AS n_shingles, least(documents.doc_id,
     documents.doc_id = least(documents.doc_id, coalesce(c.least_b, documents.doc_id)) AS kept
 FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c ON documents.doc_id = c.a
 """
+
+
+def _vector_codes_sql(rounds: int = 6) -> str:
+    """Each round as two tables: the nearest entry of every part, and the entries moved to their means."""
+    parts = """kept AS (SELECT vec_id, label, embedding AS v FROM embeddings WHERE embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    parts AS MATERIALIZED (SELECT vec_id, label, CAST((i - 1) // 8 AS INT) AS p, CAST((i - 1) % 8 AS INT) AS d, CAST(floor(4096 * CAST(v[i] AS DOUBLE)) AS BIGINT) AS x
+        FROM (SELECT vec_id, label, v, unnest(range(1, 65)) AS i FROM kept)),
+    seeds AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept ORDER BY vec_id LIMIT 16),
+    b0 AS MATERIALIZED (SELECT p, e, d, x FROM parts JOIN seeds USING (vec_id))"""
+    nearest = """a{r} AS MATERIALIZED (SELECT vec_id, p, min(dist) AS dist, arg_min(e, dist * 16 + e) AS e FROM
+        (SELECT vec_id, p, e, sum((parts.x - b{r}.x) * (parts.x - b{r}.x)) AS dist FROM parts JOIN b{r} USING (p, d) GROUP BY ALL) GROUP BY ALL)"""
+    moved = """b{n} AS MATERIALIZED (SELECT p, e, d, coalesce(m.x, b{r}.x) AS x FROM b{r} LEFT JOIN
+        (SELECT p, e, d, CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS x
+            FROM parts JOIN a{r} USING (vec_id, p) GROUP BY ALL) m USING (p, e, d))"""
+    steps = [parts] + [s.format(r=r, n=r + 1) for r in range(rounds) for s in (nearest, moved)] + [nearest.format(r=rounds)]
+    return f"""WITH {", ".join(steps)},
+    coded AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(dist) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id),
+    named AS (SELECT vec_id, label, code, error FROM coded JOIN kept USING (vec_id))
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+        (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, e, d)) FROM b{rounds}) AS codebooks_sha256 FROM named"""
+
+
+ORACLES["op11_trie_vector_codes"] = _vector_codes_sql()
+
+ORACLES["op12_multi_index_near_vectors"] = """
+WITH RECURSIVE u AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+    WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+e AS (SELECT x.vec_id AS a, y.vec_id AS b FROM u x JOIN u y ON x.label = y.label AND len(x.v) = len(y.v) AND x.vec_id <> y.vec_id
+    WHERE list_cosine_similarity(x.v, y.v) >= 0.98),
+n AS (SELECT a, count(*) AS n FROM e GROUP BY a),
+r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a, min(b) AS least_b FROM r GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, coalesce(least_b, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(least_b, vec_id)) AS kept
+FROM embeddings LEFT JOIN n ON vec_id = n.a LEFT JOIN c ON vec_id = c.a
+"""
+
+_CRC_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLES["op13_importance_resampling"] = f"""
+WITH byte AS (SELECT list(c ORDER BY b) AS t FROM (SELECT b, list_reduce([CAST(b AS BIGINT)] || range(8), lambda c, k:
+        CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) x(b))),
+words AS (SELECT doc_id, {_CRC_WORDS} AS w FROM documents),
+wanted AS (SELECT unnest({_CRC_WORDS}) AS f FROM benchmark),
+per AS MATERIALIZED (SELECT doc_id, f, count(*) AS n FROM (SELECT doc_id, unnest(w) AS f FROM words) GROUP BY ALL),
+hexed AS (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM per UNION SELECT f FROM wanted)),
+buckets AS MATERIALIZED (SELECT f, xor(list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(range(1, len(h), 2), lambda i: CAST(CAST('0x' || h[i:i + 1] AS INT) AS BIGINT)),
+        lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295) % 10000 AS bucket FROM hexed, byte),
+s AS (SELECT bucket, CAST(sum(n) AS DOUBLE) AS n FROM per JOIN buckets USING (f) GROUP BY bucket),
+t AS (SELECT bucket, CAST(count(*) AS DOUBLE) AS n FROM wanted JOIN buckets USING (f) GROUP BY bucket),
+totals AS (SELECT (SELECT coalesce(sum(n), 0) FROM s) + 10000 AS s, (SELECT coalesce(sum(n), 0) FROM t) + 10000 AS t),
+gain AS (SELECT s.bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1) * totals.s / ((s.n + 1) * totals.t))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket), totals),
+weight AS (SELECT doc_id, CAST(sum(n * gain) AS BIGINT) AS weight FROM per JOIN buckets USING (f) JOIN gain USING (bucket) GROUP BY doc_id),
+scored AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score
+    FROM words LEFT JOIN weight USING (doc_id)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS k, count(*) FILTER (n_features >= 20) OVER () AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND k <= 10 * n // 100 THEN k END AS rank FROM ranked
+"""
