@@ -79,6 +79,8 @@ METRIC_LINE_PATTERN = r"^主题数为(\d+)时，Perplexity为:([^,]+),Coherence
 TOPIC_COUNTS = tuple(range(3, 21))
 LDA_SEED = 42
 LDA_PASSES = 50
+LDA_CHUNK = 800
+LDA_WORKERS = 32
 WORDS_PER_TOPIC_LINE = 15
 COHERENCE_WINDOW = 110
 COHERENCE_TOP_WORDS = 20

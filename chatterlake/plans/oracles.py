@@ -370,6 +370,11 @@ ORACLES["bag_of_words"] = posts_sql("SELECT * FROM bags", TEXTS, BAGS)
 ORACLES["vocabulary"] = posts_sql(
     "SELECT word, sum(n)::BIGINT AS term_freq, count(*)::BIGINT AS doc_freq FROM bags GROUP BY word", TEXTS, BAGS
 )
+ORACLES["numbered_vocabulary"] = posts_sql(
+    """SELECT row_number() OVER (ORDER BY freq DESC, word) - 1 AS term_id, word, freq, texts
+    FROM (SELECT word, sum(n)::BIGINT AS freq, count(*)::BIGINT AS texts FROM bags GROUP BY word)""", TEXTS, BAGS
+)
+ORACLES["topic_mass"] = posts_sql("SELECT word, sum(n)::BIGINT AS mass FROM bags GROUP BY word", TEXTS, BAGS)
 # every window of every text that has a listed word, with the listed words it holds
 WINDOWS = f"""places AS (SELECT post_id, len(tokens) AS length, unnest(tokens) AS word,
     generate_subscripts(tokens, 1) - 1 AS place FROM texts),

@@ -20,6 +20,7 @@ from chatterlake.operators import (
     segmentation,
     sentiment,
     splitting,
+    topic_tables,
     topics,
     trends,
     words,
@@ -495,32 +496,40 @@ SWEEP_PASSES = fv.LDA_PASSES
 
 @query
 def topic_sweep(spark, sf_dir):
-    """All 18 topic counts with all passes."""
-    return topics.sweep(_topic_texts(spark, sf_dir), SWEEP_COUNTS, SWEEP_PASSES)
+    """All 18 topic counts with all passes, fitted together."""
+    return topic_tables.sweep(_topic_texts(spark, sf_dir), SWEEP_COUNTS, SWEEP_PASSES)
 
 
-def _model(shared: topics.Corpus, k: int = 5):
-    return topics.fit(shared.features, k, SWEEP_PASSES)
+def _models(spark, sf_dir, k: int = 5) -> topic_tables.Models:
+    return topic_tables.fitted(topic_tables.corpus(_topic_texts(spark, sf_dir)), [k], SWEEP_PASSES)
 
 
 @query
 def topic_words(spark, sf_dir):
-    with topics.corpus(_topic_texts(spark, sf_dir)) as shared:
-        return topics.top_topic_words(_model(shared), shared.words)
+    return topic_tables.top_words(_models(spark, sf_dir)).select("topic", "rank", "word", "weight")
 
 
 @query
 def topic_coherence(spark, sf_dir):
-    with topics.corpus(_topic_texts(spark, sf_dir)) as shared:
-        top = topics.top_topic_words(_model(shared), shared.words, fv.COHERENCE_TOP_WORDS)
-        return cooccurrence.coherence(shared.texts, F.col("tokens"), top)
+    return topic_tables.coherences(_models(spark, sf_dir)).select("topic", "coherence")
 
 
 @query
 def topic_relevance(spark, sf_dir):
-    with topics.corpus(_topic_texts(spark, sf_dir)) as shared:
-        model = _model(shared)
-        return topics.topic_terms(topics.term_weights(model, shared.words), topics.topic_shares(model, shared.features))
+    models = _models(spark, sf_dir)
+    return topics.topic_terms(topic_tables.term_weights(models, 5), topic_tables.topic_shares(models, 5))
+
+
+@query
+def topic_mass(spark, sf_dir):
+    """Each word's weight over all topics of a fitted model, less the priors: an exact word count."""
+    models = _models(spark, sf_dir)
+    return topic_tables.word_mass(models, 5).select("word", F.round("mass").cast("long").alias("mass"))
+
+
+@query
+def numbered_vocabulary(spark, sf_dir):
+    return topic_tables.vocabulary(bag_of_words(spark, sf_dir))
 
 
 @query

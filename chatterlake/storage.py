@@ -3,15 +3,38 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from chatterlake.session import shared_folder
 
 
+@dataclass(frozen=True)
+class Folder:
+    """A table of this application in the folder that all executors share."""
+
+    spark: SparkSession
+    path: str
+    schema: StructType
+
+    @classmethod
+    def write(cls, df: DataFrame, name: str, compression: str = "zstd", by: tuple[str, ...] = ()) -> Folder:
+        spark = df.sparkSession
+        path = f"{shared_folder(spark)}/steps-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+        df.write.option("compression", compression).partitionBy(*by).parquet(path)
+        return cls(spark, path, df.schema)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+    def drop(self, part: str = "") -> None:
+        """Deletes the table or one part of it, once nothing will read it any more."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{part}" if part else self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the folder that all executors share, below one folder per application."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/steps-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Folder.write(df, name).read()
