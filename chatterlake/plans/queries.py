@@ -500,8 +500,8 @@ def topic_sweep(spark, sf_dir):
     return topic_tables.sweep(_topic_texts(spark, sf_dir), SWEEP_COUNTS, SWEEP_PASSES)
 
 
-def _models(spark, sf_dir, k: int = 5) -> topic_tables.Models:
-    return topic_tables.fitted(topic_tables.corpus(_topic_texts(spark, sf_dir)), [k], SWEEP_PASSES)
+def _models(spark, sf_dir, k: int = 5, passes: int | None = None) -> topic_tables.Models:
+    return topic_tables.fitted(topic_tables.corpus(_topic_texts(spark, sf_dir)), [k], passes or SWEEP_PASSES)
 
 
 @query
@@ -523,7 +523,7 @@ def topic_relevance(spark, sf_dir):
 @query
 def topic_mass(spark, sf_dir):
     """Each word's weight over all topics of a fitted model, less the priors: an exact word count."""
-    models = _models(spark, sf_dir)
+    models = _models(spark, sf_dir, passes=3)  # it holds after every pass
     return topic_tables.word_mass(models, 5).select("word", F.round("mass").cast("long").alias("mass"))
 
 

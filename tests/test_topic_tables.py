@@ -31,6 +31,10 @@ def psi(x):
     return topics._digamma(np.asarray(x, float))
 
 
+def unpacked(row):
+    return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["counts"], np.float32).astype(float)
+
+
 def plain(data, models_started, k, schedule):
     """Dense updates of one model in double precision: (batch, weight) in turn; word rows by number."""
     first = {r.term_id: np.frombuffer(r.weights, np.float32) for r in models_started.rows.collect()}
@@ -42,7 +46,8 @@ def plain(data, models_started, k, schedule):
         beta = np.exp(psi(lam) - psi(lam.sum(0)))
         sums = np.zeros_like(lam)
         for row in (b for b in bags if b.batch == batch):
-            c, rows = np.array(row["counts"], float), beta[row.ids]
+            ids, c = unpacked(row)
+            rows = beta[ids]
             g = gammas.get(row.text, np.ones(k))
             for _ in range(200):
                 theta = np.exp(psi(g) - psi(g.sum()))
@@ -52,7 +57,7 @@ def plain(data, models_started, k, schedule):
                 g = new
             theta = np.exp(psi(g) - psi(g.sum()))
             gammas[row.text] = g
-            sums[row.ids] += row.weight * (c / (rows @ theta))[:, None] * theta * rows
+            sums[ids] += row.weight * (c / (rows @ theta))[:, None] * theta * rows
         factor = data.n_texts / data.batch_sizes[batch]
         lam = (1 - weight) * lam + weight * (1 / k + factor * sums)
     return lam
@@ -89,10 +94,10 @@ def test_corpus_tables(texts, documents):
     assert [r.word for r in data.terms.orderBy("term_id").collect()] == want
     assert data.n_texts == sum(map(bool, documents)) == sum(data.batch_sizes.values())
     rows = data.bags.collect()
-    assert sum(r.weight * sum(r["counts"]) for r in rows) == sum(map(len, documents))
+    assert sum(r.weight * unpacked(r)[1].sum() for r in rows) == sum(map(len, documents))
     assert len({r.text for r in rows}) == len(rows) == len({tuple(d) for d in documents if d})
     needs = {(r.batch, p, r.term_id) for r in data.needs.collect() for p in r.pieces}
-    assert needs == {(r.batch, r.piece, i) for r in rows for i in r.ids}
+    assert needs == {(r.batch, r.piece, i) for r in rows for i in unpacked(r)[0]}
 
 
 def test_words_keep_their_mass(texts, documents):
