@@ -6,10 +6,11 @@ them are tables, dealt by n-gram: continuation counts come from the distinct n-g
 order, contexts add up to totals and back-off weights, and the probability of every n-gram that any
 document holds is found by joins from order 1 upwards.
 
-To score documents, the table of probabilities is cut into shards of ``SHARD_GRAMS`` n-grams.  Each
-shard in turn goes to the tasks as two sorted arrays, is looked up there for the n-grams of the whole
-texts, and adds its part to the documents' sums; so texts stay where they are and memory is bounded,
-however large the model grows.
+To score documents, up to ``HOT_GRAMS`` of the most frequent n-grams go to the tasks as two sorted arrays;
+they make up nearly all places of the texts and would be the hot keys of a join.  All other n-grams of a
+document, with their counts, are joined to the table of probabilities, dealt by n-gram, and the costs are
+summed up by document.  So texts are read once more, stay where they are, and memory is bounded, however
+large the model grows.
 
 An n-gram is one number: its length above five bytes of text, the last byte lowest.
 """
@@ -29,8 +30,10 @@ from chatterlake.llm.storage import stored
 ORDER = 5
 TEXT_BITS = 8 * ORDER
 EDGE = 32  # stands before and after each word
-SHARD_GRAMS = 2_000_000  # of 16 bytes
-TASK_GRAMS = 2_000_000  # counts that a task holds before it hands them on
+SLICE_BYTES = 1 << 20  # of text at a time
+HOT_GRAMS = 1 << 18  # of 16 bytes
+_STEPS = 16  # classes of counts between a number and its double
+TASK_GRAMS = 500_000  # counts that a task holds before it hands them on
 BROADCAST_IDS = 1_000_000
 PRIOR_SYMBOLS = 60  # symbols at the language's median that each text's own are averaged with
 QUANTILE = 0.99  # of the held-out trusted texts about 1 in 100 is above a language's limits, and 1 below
@@ -71,36 +74,56 @@ def _add_up(keys: np.ndarray, *counts: np.ndarray) -> list[np.ndarray]:
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[np.ndarray] = []
     for batch in batches:
-        for part in arrays.slices(batch, "text"):
+        for part in arrays.slices(batch, "text", SLICE_BYTES):
             words = arrays.split_words(part.column("text"))
             first, which = _distinct_words(words)
             trusted = np.repeat(np.array(part.column("trusted").to_pylist(), bool), np.diff(words.bounds))
             times = np.bincount(which, weights=trusted, minlength=len(first))
+            all_times = np.bincount(which, minlength=len(first))
             keys, bounds = _grams(words, first)
-            found = _add_up(keys, np.repeat(times, np.diff(bounds)))
-            held = _add_up(np.append(held[0], found[0]), np.append(held[1], found[1])) if held else found
+            each = lambda x: np.repeat(x, np.diff(bounds))
+            found = _add_up(keys, each(times), each(all_times))
+            held = _add_up(*[np.append(a, b) for a, b in zip(held, found)]) if held else found
             if len(held[0]) > TASK_GRAMS:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], ["gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], ["gram", "n", "places"])
                 held = []
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], ["gram", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], ["gram", "n", "places"])
 
 
-def _score_batches(shard):
+def _score_batches(hot):
+    """(id, gram, n, cost): a text's cost by hot n-grams, with no gram and its symbols as n, and its other n-grams."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, cost = shard.value
+        known, cost = hot.value
+        rows = lambda *columns: pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["id", "gram", "n", "cost"])
         for batch in batches:
-            for part in arrays.slices(batch, "text"):
+            for part in arrays.slices(batch, "text", SLICE_BYTES):
                 words = arrays.split_words(part.column("text"))
                 first, which = _distinct_words(words)
                 keys, bounds = _grams(words, first)
                 at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                found = np.concatenate([[0], np.cumsum(np.where(known[at] == keys, cost[at], 0.0))])
+                there = known[at] == keys
+                found = np.concatenate([[0], np.cumsum(np.where(there, cost[at], 0.0))])
                 of_word = (found[bounds[1:]] - found[bounds[:-1]])[which]
                 sums = np.concatenate([[0], np.cumsum(of_word)])
                 symbols = np.concatenate([[0], np.cumsum(words.ends - words.starts + 1)])
-                texts = lambda x: pa.array(x[words.bounds[1:]] - x[words.bounds[:-1]])
-                yield pa.RecordBatch.from_arrays([part.column("id"), texts(sums), texts(symbols)], ["id", "cost", "symbols"])
+                texts = lambda x: x[words.bounds[1:]] - x[words.bounds[:-1]]
+                ids = part.column("id").to_numpy()
+                yield rows(ids, pa.nulls(len(ids), pa.int64()), texts(symbols), texts(sums))
+                # the other n-grams: of each distinct word, then of each text that has the word
+                others = np.concatenate([[0], np.cumsum(~there)])
+                n_others = others[bounds[1:]] - others[bounds[:-1]]
+                rare = np.flatnonzero(n_others[which])
+                if len(rare):
+                    grams, n = keys[~there], n_others[which[rare]]
+                    text = np.repeat(np.searchsorted(words.bounds, rare, "right") - 1, n)
+                    start = others[bounds[:-1]][which[rare]]
+                    gram = grams[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                    order = np.lexsort((gram, text))
+                    text, gram = text[order], gram[order]
+                    new = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (gram[1:] != gram[:-1])]))
+                    yield rows(ids[text[new]], gram[new], np.diff(np.append(new, len(gram))), np.zeros(len(new)))
 
     return run
 
@@ -202,24 +225,37 @@ def costs(docs: DataFrame) -> DataFrame:
     ``docs``: id, text, trusted.  The model is that of the trusted rows.
     """
     spark = docs.sparkSession
-    counts = docs.select("text", "trusted").mapInArrow(_count_batches, "gram long, n long")
-    counts = stored(counts.groupBy("gram").agg(F.sum("n").alias("n")), "gram-counts")
-    grams = stored(kneser_ney_counts(counts), "grams")
-    model = stored(probabilities(grams, stored(_asked(counts), "asked")), "probabilities")
-    n_shards = max(1, -(-model.count() // SHARD_GRAMS))
-    sums = None
-    for shard in range(n_shards):
-        rows = model.where(F.pmod(F.xxhash64("gram"), F.lit(n_shards)) == shard)
-        rows = rows.select("gram", (-F.log("p")).alias("cost")).toPandas().sort_values("gram")  # of SHARD_GRAMS or so
-        if not len(rows):
-            rows.loc[0] = (-1, 0.0)
-        table = spark.sparkContext.broadcast((rows["gram"].to_numpy(np.int64), rows["cost"].to_numpy(float)))
-        part = docs.select("id", "text").mapInArrow(_score_batches(table), "id long, cost double, symbols long")
-        if n_shards > 1:
-            part = stored(part, "costs")
-            table.unpersist()
-        sums = part if sums is None else sums.union(part)
-    return stored(sums.groupBy("id").agg(F.sum("cost").alias("cost"), (F.sum("symbols") / n_shards).cast("long").alias("symbols")), "costs")
+    counts = docs.select("text", "trusted").mapInArrow(_count_batches, "gram long, n long, places long")
+    counts = stored(counts.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("places").alias("places")), "gram-counts")
+    grams = stored(kneser_ney_counts(counts.select("gram", "n")), "grams")
+    model = probabilities(grams, stored(_asked(counts.select("gram", "n")), "asked"))
+    model = stored(model.select("gram", (-F.log("p")).alias("cost")), "probabilities")
+    hot = _hot(counts, model)
+    table = spark.sparkContext.broadcast(hot if len(hot[0]) else (np.full(1, -1), np.zeros(1)))
+    scored = docs.select("id", "text").mapInArrow(_score_batches(table), "id long, gram long, n long, cost double")
+    scored = stored(scored, "scores")
+    table.destroy()
+    rare = scored.where("gram IS NOT NULL").select("id", "gram", "n").join(model, "gram")
+    rare = rare.select("id", (F.col("n") * F.col("cost")).alias("cost"), F.lit(0).cast("long").alias("symbols"))
+    whole = scored.where("gram IS NULL").select("id", "cost", F.col("n").alias("symbols"))
+    return stored(whole.union(rare).groupBy("id").agg(F.sum("cost").alias("cost"), F.sum("symbols").alias("symbols")), "costs")
+
+
+def _hot(counts: DataFrame, model: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """n-grams in rising order and their costs: as many of the most frequent ones, by class of count, as ``HOT_GRAMS`` holds."""
+    size = F.floor(F.log2(F.col("places").cast("double")) * _STEPS)
+    sizes = counts.groupBy(size.alias("size")).agg(F.count("*").alias("n")).collect()  # some hundred rows
+    held, least = 0, None
+    for row in sorted(sizes, key=lambda r: -r["size"]):
+        held += row["n"]
+        if held > HOT_GRAMS:
+            break
+        least = row["size"]
+    if least is None:
+        return np.zeros(0, np.int64), np.zeros(0)
+    found = counts.where(size >= least).select("gram").join(model, "gram").select("gram", "cost").toArrow()
+    order = np.argsort(found["gram"].to_numpy())
+    return found["gram"].to_numpy()[order], found["cost"].to_numpy()[order]
 
 
 # --- the verdict --------------------------------------------------------------------------------

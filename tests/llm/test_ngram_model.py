@@ -49,9 +49,9 @@ def cost(p, text):
     return sum(-math.log(p(s[max(0, i - 4) : i + 1])) for s in seqs for i in range(1, len(s))), sum(len(s) - 1 for s in seqs)
 
 
-@pytest.mark.parametrize("shard", [10**6, 300])
+@pytest.mark.parametrize("shard", [10**6, 300, 0])
 def test_costs_equal_the_definition(spark, monkeypatch, shard):
-    monkeypatch.setattr(m, "SHARD_GRAMS", shard)
+    monkeypatch.setattr(m, "HOT_GRAMS", shard)
     monkeypatch.setattr(m, "TASK_GRAMS", 500)
     rows = near_copies(13)[:60] + [row(9001, "zz Zürich 世界 zz!"), row(9002, None), row(9003, "a")]
     trusted = {r[0] for r in rows if r[0] % 2}
