@@ -24,7 +24,7 @@ from chatterlake.llm.storage import stored
 LIMIT = 18  # bits; at least the logarithm of the number of ids in use
 BLOCK = 512
 CHUNK_IDS = 1 << 19
-CACHED_PIECES = 400_000
+CACHED_PIECES = 300_000  # of each of two generations
 JOINED_BYTES = 1 << 16
 
 
@@ -118,7 +118,9 @@ def _token_bytes(path: str) -> np.ndarray:
 def encode(texts: pa.Array, path: str, end_id: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     """All ids, with the end id after each text, and the texts' bounds among them.
 
-    Each distinct piece is encoded once; a worker keeps up to ``CACHED_PIECES`` for its next texts.
+    Each distinct piece of a slice is encoded once.  A worker keeps two generations of up to ``CACHED_PIECES``
+    for its next texts: a piece that is used again moves to the younger one, and when that is full the older
+    one goes, so frequent pieces stay.
     """
     data, offsets = arrays.texts_and_bytes(texts)
     starts = _pieces(data, offsets)
@@ -126,16 +128,25 @@ def encode(texts: pa.Array, path: str, end_id: int, width: int) -> tuple[np.ndar
     pieces = pa.Array.from_buffers(
         pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))]
     ).dictionary_encode()
-    known = arrays.worker_cache(f"pieces of {path} in {width} bytes")
-    distinct = pieces.dictionary.to_pylist()
-    missing = [p for p in distinct if p not in known]
-    if len(known) + len(missing) > CACHED_PIECES:
-        known.clear()
-        missing = distinct
     kind = np.dtype(f"<u{width}")
-    own = known if len(distinct) <= CACHED_PIECES else {}
-    own.update(zip(missing, _encode_pieces(missing, path, kind)))
-    coded = [own[p] for p in distinct] + [np.array([end_id], kind).tobytes()]
+    kept = arrays.worker_cache(f"pieces of {path} in {width} bytes")
+    young, old = kept.setdefault("young", {}), kept.setdefault("old", {})
+    distinct = pieces.dictionary.to_pylist()
+    coded = [young.get(p) for p in distinct]
+    absent = [i for i, c in enumerate(coded) if c is None]
+    unknown = []
+    for i in absent:
+        coded[i] = old.get(distinct[i])
+        if coded[i] is None:
+            unknown.append(i)
+    for i, ids in zip(unknown, _encode_pieces([distinct[i] for i in unknown], path, kind)):
+        coded[i] = ids
+    for at in range(0, len(absent), CACHED_PIECES):
+        some = absent[at : at + CACHED_PIECES]
+        if len(young) + len(some) > CACHED_PIECES:
+            kept["old"], kept["young"] = young, (young := {})
+        young.update((distinct[i], coded[i]) for i in some)
+    coded.append(np.array([end_id], kind).tobytes())
     flat = np.frombuffer(b"".join(coded), kind)
     lengths = np.array([len(c) // width for c in coded], np.int64)
     firsts = np.cumsum(lengths) - lengths
