@@ -36,6 +36,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 NO_KEY = (1 << 128) - 1
 INDEX = "key long, url string, record_type string, digest string, payload_bytes long, file string, offset long, length long"
+TASK_BYTES = 32 << 20  # of archives that one task reads
 RECORD = "key long, url string, record_type string, digest string, payload_bytes long, refers_to long, payload binary"
 
 
@@ -202,5 +203,8 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
 
 def read_archives(index: DataFrame) -> DataFrame:
     """The records of the given index rows, with their payloads: key, url, type, digest, length, refers_to."""
-    ordered = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    places = index.select("file", "offset", "length")
+    n_bytes = places.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, -(-n_bytes // TASK_BYTES))  # the rows are few bytes, the records behind them many
+    ordered = places.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return ordered.mapInArrow(_read_batches, RECORD)
