@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatterlake.llm import arrays
+from chatterlake.llm.identity import one_of_each, with_twins
 from chatterlake.llm.storage import stored
 
 LENGTH = 100
@@ -60,6 +61,10 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return found, hashes[found]
 
 
+def _names(part: pa.RecordBatch, owner: np.ndarray) -> list[pa.Array]:
+    return [part.column(c).take(pa.array(owner)) for c in ("id", "twin")]
+
+
 def _anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in arrays.slices(batch, "text", SLICE_BYTES):
@@ -67,8 +72,8 @@ def _anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             places, keys = anchors(data, offsets)
             owner = np.searchsorted(offsets, places, "right") - 1
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.view(np.int64)), part.column("id").take(pa.array(owner)), pa.array(places - offsets[owner])],
-                ["key", "id", "at"],
+                [pa.array(keys.view(np.int64)), *_names(part, owner), pa.array(places - offsets[owner])],
+                ["key", "id", "twin", "at"],
             )
 
 
@@ -152,12 +157,14 @@ def _depth_names(groups: np.ndarray, rows: np.ndarray, depths: range) -> list[np
 
 
 def repeated_windows(
-    groups: np.ndarray, places: np.ndarray, before: np.ndarray, behind: np.ndarray, room: np.ndarray, left: np.ndarray
-) -> np.ndarray:
+    groups: np.ndarray, ids: np.ndarray, texts: np.ndarray, at: np.ndarray,
+    before: np.ndarray, behind: np.ndarray, room: np.ndarray, left: np.ndarray,
+) -> np.ndarray:
     """Whether the window that begins r bytes before a row's key also begins earlier: one row each, r from 0.
 
-    ``places``: rank of each row's place, equal for equal ones; ``before``: the bytes before the key, last one first, and
-    ``behind`` those behind it; ``left`` and ``room``: how many of them belong to the text.
+    Earlier is a smaller id, or a smaller place in the same text.  ``texts``: rank of each row's text, by id first;
+    ``before``: the bytes before the key, last one first, and ``behind`` those behind it; ``left`` and ``room``: how many of
+    them belong to the text.
     """
     preceding = _depth_names(groups, before, range(SIDE + 1))
     following = _depth_names(groups, behind, range(SIDE + 1))
@@ -166,15 +173,17 @@ def repeated_windows(
         fits = np.flatnonzero((left >= r) & (room >= SIDE - r))
         if len(fits):
             name = preceding[r][fits] * (len(groups) + 1) + following[SIDE - r][fits]
-            by = np.lexsort((places[fits], name))
+            by = np.lexsort((at[fits], texts[fits], name))
+            row = fits[by]
             new = np.append(True, name[by][1:] != name[by][:-1])
-            earliest = places[fits[by[new]]][np.cumsum(new) - 1]
-            out[fits[by[places[fits[by]] > earliest]], r] = True
+            least = ids[row[new]][np.cumsum(new) - 1]
+            own = np.append(False, ~new[1:] & (texts[row][1:] == texts[row][:-1]))  # the row before is in the same text
+            out[row[own | (ids[row] > least)], r] = True
     return out
 
 
 def _context_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with the places of their anchors -> (key, id, at, left, room, bytes around)."""
+    """Texts with the places of their anchors -> (key, id, twin, at, left, room, bytes around)."""
     for batch in batches:
         for part in arrays.slices(batch, "text"):
             data, offsets = arrays.texts_and_bytes(part.column("text"))
@@ -188,10 +197,10 @@ def _context_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             sides = np.concatenate([around[:, :SIDE][:, ::-1], around[:, SIDE + KEY :]], 1)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(keys), part.column("id").take(pa.array(owner)), pa.array(at), pa.array(left, pa.int64()), pa.array(room, pa.int64()),
+                    pa.array(keys), *_names(part, owner), pa.array(at), pa.array(left, pa.int64()), pa.array(room, pa.int64()),
                     arrays.binary_array(sides.reshape(-1), np.arange(len(at) + 1) * 2 * SIDE),
                 ],
-                ["key", "id", "at", "left", "room", "sides"],
+                ["key", "id", "twin", "at", "left", "room", "sides"],
             )
 
 
@@ -204,7 +213,7 @@ def _flat(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _own_anchors(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each anchor's row, place and key, without those that came from another row of the same id."""
+    """Each anchor's row, place and key; all are looked up again, so a clash of two texts' names cannot mix them."""
     n, at, keys = _flat(part)
     owner = np.repeat(np.arange(len(part)), n)
     inside = np.flatnonzero(at + KEY <= np.diff(offsets)[owner])
@@ -214,7 +223,10 @@ def _own_anchors(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) ->
 
 
 def _window_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with the places of their anchors -> (window, id, at) of all windows around them."""
+    """Texts with the places of their anchors -> (window, id, twin, at, again) of all windows around them.
+
+    ``again``: the window begins earlier in the same text.  Equal windows have the same anchors, so all of a text's are here.
+    """
     for batch in batches:
         for part in arrays.slices(batch, "text", SLICE_BYTES):
             data, offsets = arrays.texts_and_bytes(part.column("text"))
@@ -225,29 +237,29 @@ def _window_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             fits = (starts >= 0) & (owner >= 0)
             fits[fits] = starts[fits] + LENGTH <= offsets[owner[fits] + 1]
             starts, owner = starts[fits], owner[fits]
+            windows = arrays.span_hashes(data, starts, starts + LENGTH)
+            by = np.lexsort((starts, windows, owner))
+            again = np.zeros(len(starts), bool)
+            again[by[1:]] = (windows[by][1:] == windows[by][:-1]) & (owner[by][1:] == owner[by][:-1])
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(arrays.span_hashes(data, starts, starts + LENGTH).view(np.int64)),
-                    part.column("id").take(pa.array(owner)),
-                    pa.array(starts - offsets[owner]),
-                ],
-                ["window", "id", "at"],
+                [pa.array(windows.view(np.int64)), *_names(part, owner), pa.array(starts - offsets[owner]), pa.array(again)],
+                ["window", "id", "twin", "at", "again"],
             )
 
 
-def _spans(ids: np.ndarray, at: np.ndarray, repeated: np.ndarray) -> pa.RecordBatch:
-    """(id, start, end) of what the repeated windows around each key cover, touching ones together."""
+def _spans(ids: np.ndarray, twins: np.ndarray, texts: np.ndarray, at: np.ndarray, repeated: np.ndarray) -> pa.RecordBatch:
+    """(id, twin, start, end) of what the repeated windows around each key cover, touching ones together."""
     edges = np.diff(np.pad(repeated, ((0, 0), (1, 1))).astype(np.int8), axis=1)
     row, least = np.nonzero(edges == 1)
     most = np.nonzero(edges == -1)[1] - 1  # both in the order of rows, then of r
-    ids, starts, ends = ids[row], at[row] - most, at[row] - least + LENGTH
-    by = np.lexsort((starts, ids))
-    ids, starts, ends = ids[by], starts[by], ends[by]
-    new = np.append(True, (ids[1:] != ids[:-1]) | (starts[1:] > ends[:-1]))[: len(ids)]
+    starts, ends = at[row] - most, at[row] - least + LENGTH
+    by = np.lexsort((starts, texts[row]))
+    row, starts, ends = row[by], starts[by], ends[by]
+    new = np.append(True, (texts[row][1:] != texts[row][:-1]) | (starts[1:] > ends[:-1]))[: len(row)]
     firsts = np.flatnonzero(new)
+    last = np.maximum.reduceat(ends, firsts) if len(firsts) else ends
     return pa.RecordBatch.from_arrays(
-        [pa.array(ids[firsts]), pa.array(starts[firsts]), pa.array(np.maximum.reduceat(ends, firsts) if len(firsts) else ends)],
-        ["id", "start", "end"],
+        [pa.array(x) for x in (ids[row[firsts]], twins[row[firsts]], starts[firsts], last)], ["id", "twin", "start", "end"]
     )
 
 
@@ -256,13 +268,13 @@ def _sort_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     held: list[pa.RecordBatch] = []
 
     def done(rows: pa.Table) -> pa.RecordBatch:
-        key, ids, at, left, room = (rows.column(c).to_numpy() for c in ("key", "id", "at", "left", "room"))
+        key, ids, twins, at, left, room = (rows.column(c).to_numpy() for c in ("key", "id", "twin", "at", "left", "room"))
         sides = np.frombuffer(b"".join(rows.column("sides").to_pylist()), np.uint8).reshape(len(rows), 2 * SIDE)
         groups = np.unique(key, return_inverse=True)[1]
-        places = np.empty(len(rows), np.int64)
-        by = np.lexsort((at, ids))
-        places[by] = np.cumsum(np.append(0, (ids[by][1:] != ids[by][:-1]) | (at[by][1:] != at[by][:-1])))
-        return _spans(ids, at, repeated_windows(groups, places, sides[:, :SIDE], sides[:, SIDE:], room, left))
+        texts = np.empty(len(rows), np.int64)
+        by = np.lexsort((twins, ids))
+        texts[by] = np.cumsum(np.append(0, (ids[by][1:] != ids[by][:-1]) | (twins[by][1:] != twins[by][:-1])))
+        return _spans(ids, twins, texts, at, repeated_windows(groups, ids, texts, at, sides[:, :SIDE], sides[:, SIDE:], room, left))
 
     def flush(last: bool) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(held)
@@ -315,37 +327,37 @@ def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 # --- jobs ---------------------------------------------------------------------------------------
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(id, start, end) of repeated windows of docs (id, text), overlapping where several keys saw them."""
-    found = docs.mapInArrow(_anchor_batches, "key long, id long, at long")
+    """(id, twin, start, end) of repeated windows of docs (id, twin, text), each name once; spans overlap where several keys saw them."""
+    found = docs.mapInArrow(_anchor_batches, "key long, id long, twin long, at long")
     counted = stored(found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "repeat-keys")
     placed = stored(found.join(counted, "key"), "repeat-anchors")
-    lists = lambda rows: rows.groupBy("id").agg(F.collect_list(F.struct("at", "key")).alias("found"))
-    cold = docs.join(lists(placed.where(F.col("n") <= HOT)), "id").select("id", "text", "found")
-    around = cold.mapInArrow(_context_batches, "key long, id long, at long, left long, room long, sides binary")
-    spans = stored(around.repartition("key").sortWithinPartitions("key").mapInArrow(_sort_batches, "id long, start long, end long"), "spans")
+    lists = lambda rows: rows.groupBy("id", "twin").agg(F.collect_list(F.struct("at", "key")).alias("found"))
+    own = lambda rows: docs.join(lists(rows), ["id", "twin"]).select("id", "twin", "text", "found")
+    around = own(placed.where(F.col("n") <= HOT))
+    around = around.mapInArrow(_context_batches, "key long, id long, twin long, at long, left long, room long, sides binary")
+    spans = around.repartition("key").sortWithinPartitions("key").mapInArrow(_sort_batches, "id long, twin long, start long, end long")
+    spans = stored(spans, "spans")
     hot = placed.where(F.col("n") > HOT)
     if hot.isEmpty():
         return spans
-    windows = docs.join(lists(hot), "id").select("id", "text", "found").mapInArrow(_window_batches, "window long, id long, at long")
-    windows = stored(windows, "windows")
-    earliest = windows.groupBy("window").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    again = windows.join(stored(earliest.select("window", "first"), "earliest"), "window")
-    again = again.where(F.struct("id", "at") > F.col("first"))
-    return spans.union(again.select("id", F.col("at").alias("start"), (F.col("at") + LENGTH).alias("end")))
+    windows = stored(own(hot).mapInArrow(_window_batches, "window long, id long, twin long, at long, again boolean"), "windows")
+    earliest = windows.groupBy("window").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    repeated = windows.join(stored(earliest.select("window", "first"), "earliest"), "window").where("again OR id > first")
+    return spans.union(repeated.select("id", "twin", F.col("at").alias("start"), (F.col("at") + LENGTH).alias("end")))
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_bytes, n_removed, spans (start, end in bytes) and kept (the remaining bytes) of every row.
 
     Null text is empty; texts under ``LENGTH`` bytes lose nothing.  A missing key counts as smaller than
-    all others.  Rows that share a key have no order, so none of them repeats another; a place that
-    repeats in one of them is removed from each that reaches so far.  Other columns are not read; no
-    rows give no rows.
+    all others.  Rows that share a key, or have none, are texts of their own without an order: none of them
+    repeats another, and each loses what repeats within itself or in a row of a smaller key.  Other columns
+    are not read; no rows give no rows.
     """
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    rows = rows.withColumn("id", F.coalesce("key", F.lit(FIRST_KEY)))
-    spans = stored(repeated_spans(rows.select("id", "text")), "repeated")
-    own = spans.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    both = rows.join(own, "id", "left").select("key", "text", "spans")
+    rows = with_twins(rows.withColumn("id", F.coalesce("key", F.lit(FIRST_KEY))))
+    spans = stored(repeated_spans(one_of_each(rows.select("id", "twin", "text"))), "repeated")
+    own = spans.groupBy("id", "twin").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    both = rows.join(own, ["id", "twin"], "left").select("key", "text", "spans")
     out = both.mapInArrow(_cut_batches, "key long, n_bytes long, n_removed long, spans array<struct<start long, end long>>, kept binary")
     return out.withColumnRenamed("key", key)

@@ -84,21 +84,22 @@ def test_no_rows_and_one_key_twice(spark):
 
 
 def brute_shared_keys(rows):
-    """Several rows may share a key: what repeats in one of them goes from each that reaches so far."""
+    """Several rows may share a key: each loses what begins earlier in itself or in a row of a smaller key."""
     at = lambda r: (r[0] is not None, r[0] or 0)
-    windows = [((r[1] or "").encode(), at(r)) for r in rows]
-    first, gone = {}, {}
-    for raw, key in windows:
+    least = {}
+    for r in rows:
+        raw = (r[1] or "").encode()
         for p in range(len(raw) - 99):
             w = raw[p : p + 100]
-            first[w] = min(first.get(w, (key, p)), (key, p))
-    for raw, key in windows:
-        for p in range(len(raw) - 99):
-            if first[raw[p : p + 100]] < (key, p):
-                gone.setdefault(key, set()).update(range(p, p + 100))
+            least[w] = min(least.get(w, at(r)), at(r))
     out = []
-    for r, (raw, key) in zip(rows, windows):
-        lost = np.array([i in gone.get(key, ()) for i in range(len(raw))], bool)
+    for r in rows:
+        raw, seen = (r[1] or "").encode(), set()
+        lost = np.zeros(len(raw), bool)
+        for p in range(len(raw) - 99):
+            w = raw[p : p + 100]
+            lost[p : p + 100] |= w in seen or least[w] < at(r)
+            seen.add(w)
         edges = np.flatnonzero(np.diff(np.concatenate([[0], lost, [0]])))
         kept = bytes(np.frombuffer(raw, np.uint8)[~lost])
         out.append((r[0], len(raw), int(lost.sum()), list(zip(edges[::2].tolist(), edges[1::2].tolist())), kept))
@@ -115,13 +116,14 @@ def test_rows_that_share_a_key(spark, monkeypatch, hot):
     rows = [row(0, passage + text(50)), row(0, sides[0] + other[:50] + sides[1])]
     for key in (None, 4):
         rows += [row(key, text(3000) + passage), row(key, text(150)), row(key, equal), row(key, equal)]
+        rows += [row(key, None), row(key, ""), row(key, text(700)), row(key, 2 * text(130) + passage), row(key, passage)]
         rows += [row(key, text(59) + other[:50] + text(59)), row(key, sides[0] + other[50:100] + sides[1]), row(key, text(10))]
     assert got(spark, rows) == brute_shared_keys(rows)
 
 
 def test_places_behind_a_shorter_row():
-    """A place of a longer row of the same id comes with the slice's last row."""
+    """A place of a longer text of the same name comes with the slice's last row."""
     found = pa.array([[{"at": 150, "key": 1}]], pa.list_(pa.struct([("at", pa.int64()), ("key", pa.int64())])))
-    part = pa.RecordBatch.from_arrays([pa.array([5]), pa.array(["x" * 120]), found], ["id", "text", "found"])
+    part = pa.RecordBatch.from_arrays([pa.array([5]), pa.array([1]), pa.array(["x" * 120]), found], ["id", "twin", "text", "found"])
     for batches in (repeats._context_batches, repeats._window_batches):
         assert [b.num_rows for b in batches(iter([part]))] == [0]
