@@ -10,6 +10,9 @@ before anything is compared.
 The rarity of a word is read from ``BUCKETS`` counters, each the number of lines with a word of its hash;
 any common order of words is right, and this one has a fixed size however many words there are.
 
+A line's number holds the number of its row among those that share a key (see ``identity``) above
+``LINE_BITS`` bits, so that (id, line) names one place, and rows of one key have an order.
+
 Every line only needs one earlier match.  So each is first compared with the earliest line it meets
 under each word, on full sets; only lines that found no match, but met more, are compared with all.
 """
@@ -24,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatterlake.llm import arrays
+from chatterlake.llm.identity import one_of_each, with_twins
 from chatterlake.llm.storage import stored
 
 PERCENT = 80
@@ -34,6 +38,7 @@ PAIRS_AT_ONCE = 1 << 20
 ROWS_AT_ONCE = 200_000
 BROADCAST_IDS = 100_000
 OWNER_SHIFT = 42
+LINE_BITS = 31  # a text is shorter than 2^31 bytes
 _U = np.uint64
 
 
@@ -71,7 +76,7 @@ def _line_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             line, hashes, starts = _line_words(words)
             cuts = _cuts(line)
             owner = np.searchsorted(words.offsets, starts[line[cuts]], "right") - 1
-            number = line[cuts] - np.searchsorted(starts, words.offsets[owner])
+            number = line[cuts] - np.searchsorted(starts, words.offsets[owner]) + (part.column("twin").to_numpy()[owner] << LINE_BITS)
             sums = lambda x: np.add.reduceat(x, cuts) if len(cuts) else x
             yield pa.RecordBatch.from_arrays(
                 [
@@ -88,8 +93,7 @@ def _text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         rows: list[tuple] = []
         for key, text, lines in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "lines"))):
             whole = text.split("\n")
-            # rows that share a key may have fewer lines than another of them
-            rows += [(key, n, whole[n]) for n in set(lines) if n < len(whole)]
+            rows += [(key, n, whole[n & (1 << LINE_BITS) - 1]) for n in lines]
         kinds = (pa.int64(), pa.int64(), pa.string())
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["id", "line", "text"])
 
@@ -261,13 +265,14 @@ def _matched(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(id, line, removed) of every line with words of docs (id, text); lines are numbered from 0."""
+    """(id, line, removed) of every line with words of docs (id, twin, text), each name once; ``line``: twin and number from 0."""
     spark = docs.sparkSession
+    twin = F.shiftright("line", LINE_BITS).alias("twin")
     every = stored(docs.mapInArrow(_line_batches, "id long, line long, n long, one long, two long"), "lines")
     classes = every.groupBy("n", "one", "two").agg(F.min(F.struct("id", "line")).alias("first"))
     classes = stored(classes.select("n", "one", "two", "first.*"), "line-classes")
-    lists = classes.groupBy("id").agg(F.collect_list("line").alias("lines"))
-    lines = docs.join(lists, "id").select("id", "text", "lines").mapInArrow(_text_batches, "id long, line long, text string")
+    lists = classes.groupBy("id", twin).agg(F.collect_list("line").alias("lines"))
+    lines = docs.join(lists, ["id", "twin"]).select("id", "text", "lines").mapInArrow(_text_batches, "id long, line long, text string")
     lines = stored(lines, "line-texts")
     counted = lines.mapInArrow(_rarity_batches, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     found = counted.select(F.col("bucket").cast("int"), F.least("n", F.lit((1 << 31) - 1)).cast("int").alias("n")).toArrow()
@@ -293,28 +298,35 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """key, n_lines, n_removed, removed: of each document with lines the numbers of those to remove.
+    """key, n_lines, n_removed, removed: of each row the numbers of the lines to remove, and ``twin``, which tells rows apart.
 
     Lines without words are neither counted nor removed.  Null and empty texts, and rows without a
-    key, have n_lines 0.  Rows that share a key are one document whose lines of one number are one
-    place.  Other columns are not read; no rows give no rows.
+    key, have n_lines 0.  Rows that share a key are documents of their own, in the order of their texts'
+    hashes; those of equal text are one, as they cannot be told apart: none of them repeats another, and
+    each of them has a row.  Other columns are not read; no rows give no rows.
     """
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    found = repeated_lines(rows.where("id IS NOT NULL AND text IS NOT NULL"))
-    per_line = found.groupBy("id", "line").agg(F.bool_or("removed").alias("removed"))
-    per_text = per_line.groupBy("id").agg(
-        F.count("*").alias("n_lines"), F.sort_array(F.collect_list(F.when(F.col("removed"), F.col("line")))).alias("removed")
+    known = with_twins(rows.where("id IS NOT NULL"))
+    found = repeated_lines(one_of_each(known.where("text IS NOT NULL").select("id", "twin", "text")), percent)
+    number = F.col("line").bitwiseAND(F.lit((1 << LINE_BITS) - 1))
+    per_text = found.groupBy("id", F.shiftright("line", LINE_BITS).alias("twin")).agg(
+        F.count("*").alias("n_lines"), F.sort_array(F.collect_list(F.when(F.col("removed"), number))).alias("removed")
     )
-    keys = rows.select("id").distinct().withColumnRenamed("id", key)
-    joined = keys.join(per_text, F.col(key) == F.col("id"), "left")
+    joined = known.select("id", "twin").join(per_text, ["id", "twin"], "left")
+    joined = joined.unionByName(rows.where("id IS NULL").select("id"), allowMissingColumns=True)
     removed = F.coalesce("removed", F.array().cast("array<bigint>"))
-    return joined.select(key, F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
+    return joined.select(
+        F.col("id").alias(key), F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.size(removed).cast("long").alias("n_removed"),
+        removed.alias("removed"), F.coalesce("twin", F.lit(0)).alias("twin"),
+    )
 
 
 def without_lines(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` with their texts less the lines that ``dedup_lines`` found."""
-    lists = found.select(F.col(key).alias("__key"), F.col("removed").alias("__removed"))
-    lines = F.split(F.col(text), "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__removed", i.cast("long"))), "\n")
-    cleaned = F.when(F.size("__removed") > 0, kept).otherwise(F.col(text))
-    return docs.join(lists, F.col(key) == F.col("__key"), "left").withColumn(text, cleaned).select(docs.columns)
+    """The rows of ``docs`` with their texts less the lines that ``dedup_lines`` found in the same rows."""
+    lists = found.where("n_removed > 0").select(F.col(key).alias("id"), "twin", F.col("removed").alias("lines"))
+    named = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    known = with_twins(named.where("id IS NOT NULL")).join(lists.dropDuplicates(["id", "twin"]), ["id", "twin"], "left")
+    both = known.select("row", "text", "lines").unionByName(named.where("id IS NULL").select("row", "text"), allowMissingColumns=True)
+    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("lines", i.cast("long"))), "\n")
+    cleaned = F.when(F.col("lines").isNotNull(), kept).otherwise(F.col("text"))
+    return both.withColumn("row", F.col("row").withField(text, cleaned)).select("row.*")

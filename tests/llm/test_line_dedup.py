@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from chatterlake.llm import line_dedup
+from chatterlake.llm import identity, line_dedup
 from cases import frame, near_copies, row, words
 
 
@@ -56,6 +56,26 @@ def test_lines_are_cut_out(spark):
 
 def test_no_rows_and_odd_keys(spark):
     assert line_dedup.dedup_lines(frame(spark, [])).collect() == []
-    rows = [row(None, "a b"), row(5, "a b\nc"), row(5, "a b")]
-    got = {r.doc_id: (r.n_lines, list(r.removed)) for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
-    assert got == {None: (0, []), 5: (2, [])}
+    rows = [row(None, "a b"), row(None, None), row(5, "a b\nc"), row(5, "a b\nc"), row(5, None)]
+    got = sorted((r.doc_id or 0, r.n_lines, list(r.removed)) for r in line_dedup.dedup_lines(frame(spark, rows)).collect())
+    assert got == [(0, 0, []), (0, 0, []), (5, 0, []), (5, 2, []), (5, 2, [])]
+
+
+@pytest.mark.parametrize("hot, rows_at_once", [(500_000, 200_000), (0, 40)])
+def test_rows_that_share_a_key(spark, monkeypatch, hot, rows_at_once):
+    """Each row loses its own repeated lines only; of similar lines in rows of one key one stays."""
+    monkeypatch.setattr(identity, "BROADCAST_ROWS", hot)
+    monkeypatch.setattr(line_dedup, "ROWS_AT_ONCE", rows_at_once)
+    one, two = "p q r s t", "u v w x y"
+    rows = [row(1, one), row(2, f"{one}\nleft alone here\n{one}"), row(2, "only in this row\nand this one"), row(2, None), row(None, one)]
+    rows += [row(3, f"{two}\nx1"), row(3, f"x2\n{two} z"), row(3, f"x2\n{two} z"), row(4, f"{two}\nx3")]
+    docs = frame(spark, rows)
+    found = line_dedup.dedup_lines(docs)
+    assert found.count() == len(rows)
+    kept = line_dedup.without_lines(docs, found)
+    assert kept.columns == docs.columns
+    texts = sorted((r.doc_id or 0, r.text or "") for r in kept.collect())
+    assert texts[:6] == [(0, one), (1, one), (2, ""), (2, "left alone here"), (2, "only in this row\nand this one"), (3, texts[5][1])]
+    threes = [t for k, t in texts if k == 3]
+    assert threes in ([f"x2\n{two} z"] * 2 + ["x1"], ["x1"] + [f"x2\n{two} z"] * 2, ["x2", "x2", f"{two}\nx1"], [f"{two}\nx1", "x2", "x2"])
+    assert texts[-1] == (4, "x3")
