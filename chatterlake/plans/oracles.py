@@ -426,3 +426,28 @@ _own = "sentiment IS NOT NULL AND score IS NOT NULL"
 ORACLES["model_labels"] = posts_sql(
     f"SELECT post_id, CASE WHEN {_own} THEN sentiment END AS own_sentiment, CASE WHEN {_own} THEN score END AS own_score, true AS valid FROM posts"
 )
+
+_cost = lambda part, whole: f"-CAST(floor(ln(({part}) / ({whole})) / 1e-6) AS BIGINT)"
+_n_of = lambda label, what="*": f"count({what}) FILTER (WHERE sentiment = '{label}')::BIGINT"
+LABEL_WORDS = f"""worded AS (SELECT post_id, sentiment, content, unnest({tokens('cleaned')}) AS word
+  FROM (SELECT post_id, sentiment, content, {clean_text("coalesce(content, '')")} AS cleaned FROM posts)),
+labelled_words AS (SELECT word, count(*)::BIGINT AS n, {', '.join(f'{_n_of(v)} AS {v}' for v in fv.LABELS)}
+  FROM worded WHERE content IS NOT NULL AND sentiment IN {words_in(fv.LABELS)} GROUP BY word),
+label_sizes AS (SELECT count(*) AS words, {', '.join(f'sum({v}) AS {v}' for v in fv.LABELS)} FROM labelled_words),
+label_words AS (SELECT word, n, {', '.join(f"{_cost(f'w.{v} + 1', f's.{v} + s.words')} AS cost_{v}" for v in fv.LABELS)}
+  FROM labelled_words w, label_sizes s)"""
+ORACLES["label_words"] = posts_sql("SELECT * FROM label_words", LABEL_WORDS)
+_sum_of = lambda label: f"coalesce(sum(cost_{label}), 0)::BIGINT + any_value(own_{label}) AS {label}"
+_least = f"least({', '.join(fv.LABELS)})"
+ORACLES["labels_by_counts"] = posts_sql(
+    f"""SELECT p.post_id, CASE WHEN {_own} THEN sentiment ELSE label END AS sentiment, CASE WHEN {_own} THEN score ELSE chance END AS score
+FROM posts p JOIN guesses USING (post_id)""",
+    LABEL_WORDS,
+    f"""shares AS (SELECT {', '.join(f"{_cost(f'{_n_of(v)} + 1', f'count(*) + {len(fv.LABELS)}')} AS own_{v}" for v in fv.LABELS)}
+  FROM posts WHERE content IS NOT NULL AND sentiment IN {words_in(fv.LABELS)})""",
+    f"""sums AS (SELECT p.post_id, {', '.join(_sum_of(v) for v in fv.LABELS)}
+  FROM posts p CROSS JOIN shares LEFT JOIN (SELECT w.post_id, l.* FROM worded w JOIN label_words l USING (word)) m ON p.post_id = m.post_id
+  GROUP BY p.post_id)""",
+    f"""guesses AS (SELECT post_id, CASE {' '.join(f"WHEN {v} = {_least} THEN '{v}'" for v in fv.LABELS)} END AS label,
+  round(1 / ({' + '.join(f'exp(({_least} - {v}) * 1e-6)' for v in fv.LABELS)}), 6) AS chance FROM sums)""",
+)

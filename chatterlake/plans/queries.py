@@ -15,6 +15,7 @@ from chatterlake.operators import (
     cleaning,
     cooccurrence,
     enrichment,
+    label_counts,
     resuming,
     routing,
     segmentation,
@@ -414,6 +415,21 @@ def model_labels(spark, sf_dir):
     return found.select("post_id", "own_sentiment", "own_score", (valid & unchanged).alias("valid"))
 
 
+@query
+def label_words(spark, sf_dir):
+    """The words of the count model of the labelled posts, with their costs."""
+    model = label_counts.fit(posts(spark, sf_dir, ("content", "sentiment")), "content")
+    return model.words.read()
+
+
+@query
+def labels_by_counts(spark, sf_dir):
+    """The count model of the labelled posts for all others."""
+    rows = posts(spark, sf_dir, ("post_id", "content", "sentiment", "score"))
+    found = label_counts.label_pending(rows, label_counts.fit(rows, "content"), "content", "post_id")
+    return found.select("post_id", "sentiment", "score")
+
+
 @query
 def stream_scores(spark, sf_dir):
     """The same calls for all posts as they arrive, with stored answers."""

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import itertools
 import posixpath
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.ml.clustering import LDAModel
 from pyspark.sql import DataFrame
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from chatterlake.functions import fixed_values as fv
 from chatterlake.operators.splitting import labelled
 from chatterlake.operators.topics import topic_lines
-from chatterlake.sources.tables import names_in
+from chatterlake.sources.tables import create_file, names_in, path_exists, remove
 
 BOM = "\ufeff"
 
@@ -34,17 +36,50 @@ def write_csv(
 
 def free_path(spark, base: str, suffix: str = fv.TRANSLATED_SUFFIX) -> str:
     """``base`` + suffix, or with the least of (1), (2), ... whose name its folder does not hold yet."""
+    folder = posixpath.dirname(base) or "."
+    taken = names_in(spark, folder)
+    return next(p for p in _candidates(base, suffix) if not {posixpath.basename(p), posixpath.basename(_claim_of(p))} & taken)
+
+
+def _candidates(base: str, suffix: str) -> Iterator[str]:
     folder, name = posixpath.split(base)
     stem, extension = posixpath.splitext(name)
-    taken = names_in(spark, folder or ".")
-    names = itertools.chain([""], (f"({n})" for n in itertools.count(1)))
-    return posixpath.join(folder, next(f for n in names if (f := f"{stem}{suffix}{n}{extension}") not in taken))
+    for n in itertools.chain([""], (f"({n})" for n in itertools.count(1))):
+        yield posixpath.join(folder, f"{stem}{suffix}{n}{extension}")
+
+
+def _claim_of(path: str) -> str:
+    """The file that a writer holds while it writes; readers pass over names that begin with a dot."""
+    folder, name = posixpath.split(path)
+    return posixpath.join(folder, f".{name}.claim")
+
+
+@contextmanager
+def claimed_path(spark, base: str, suffix: str = fv.TRANSLATED_SUFFIX) -> Iterator[str]:
+    """A free path that no other writer gets while this one writes.
+
+    A name is claimed by making a file that must not exist yet, which a file system grants to one writer
+    only; whoever loses goes on to the next number.  The claim goes when the block ends.  A name that another
+    writer finished after the folder was listed is seen after claiming it, and given back.  A writer that dies
+    leaves its claim, so its number is passed over.
+    """
+    taken = names_in(spark, posixpath.dirname(base) or ".")
+    for path in _candidates(base, suffix):
+        claim = _claim_of(path)
+        if {posixpath.basename(path), posixpath.basename(claim)} & taken or not create_file(spark, claim):
+            continue
+        try:
+            if not path_exists(spark, path):
+                yield path
+                return
+        finally:
+            remove(spark, claim)
 
 
 def write_new(df: DataFrame, base: str, suffix: str = fv.TRANSLATED_SUFFIX) -> str:
-    """Parquet at a path that nothing is overwritten at; returns the path."""
-    path = free_path(df.sparkSession, base, suffix)
-    df.write.mode("errorifexists").parquet(path)
+    """Parquet at a path that nothing is overwritten at, also by two writers at once; returns the path."""
+    with claimed_path(df.sparkSession, base, suffix) as path:
+        df.write.mode("errorifexists").parquet(path)
     return path
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,24 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def create_file(spark: SparkSession, path: str) -> bool:
+    """Makes an empty file; false if there is one already, which only one of several callers at once is spared."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        if store.getUri().getScheme() == "file":  # Hadoop's local files are looked up first and made then
+            place = jvm.java.io.File(target.toUri().getPath())
+            place.getParentFile().mkdirs()
+            return place.createNewFile()
+        store.create(target, False).close()
+        return True
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" in error.java_exception.getClass().getName():
+            return False
+        raise
+
+
 def names_in(spark: SparkSession, folder: str) -> set[str]:
     """The names of what a folder holds, by one listing; none if there is no such folder."""
     jvm = spark.sparkContext._jvm

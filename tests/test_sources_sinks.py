@@ -1,4 +1,5 @@
 import glob
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -129,6 +130,27 @@ def test_new_paths_never_overwrite(spark, tmp_path):
     assert made == [str(tmp_path / f"comments_已翻译{n}.parquet") for n in ("", "(1)", "(2)")]
 
 
+def test_writers_at_once_get_paths_of_their_own(spark, tmp_path):
+    base = str(tmp_path / "new" / "comments.parquet")
+    with ThreadPoolExecutor(8) as pool:
+        made = list(pool.map(lambda i: files.write_new(spark.range(i, i + 1), base), range(16)))
+    assert len(set(made)) == 16
+    assert sorted(spark.read.parquet(path).first().id for path in made) == list(range(16))
+    assert not glob.glob(str(tmp_path / "new" / ".*.claim"))
+
+
+def test_claims_go_when_a_write_fails_and_hold_while_it_runs(spark, tmp_path):
+    base = str(tmp_path / "comments.parquet")
+    with files.claimed_path(spark, base) as first:
+        with files.claimed_path(spark, base) as second:
+            assert (first, second) == tuple(str(tmp_path / f"comments_已翻译{n}.parquet") for n in ("", "(1)"))
+            assert files.free_path(spark, base).endswith("(2).parquet")
+    with pytest.raises(RuntimeError):
+        with files.claimed_path(spark, base) as again:
+            raise RuntimeError
+    assert again == first == files.free_path(spark, base)
+
+
 def test_split_sink(spark, tmp_path):
     df = spark.createDataFrame(
         [(1, "positive"), (2, "negative"), (3, "unknown"), (4, None), (5, "neutral"), (6, "positive")],
