@@ -157,12 +157,12 @@ def _depth_names(groups: np.ndarray, rows: np.ndarray, depths: range) -> list[np
 
 
 def repeated_windows(
-    groups: np.ndarray, ids: np.ndarray, texts: np.ndarray, at: np.ndarray,
+    groups: np.ndarray, ids: np.ndarray, texts: np.ndarray,
     before: np.ndarray, behind: np.ndarray, room: np.ndarray, left: np.ndarray,
 ) -> np.ndarray:
     """Whether the window that begins r bytes before a row's key also begins earlier: one row each, r from 0.
 
-    Earlier is a smaller id, or a smaller place in the same text.  ``texts``: rank of each row's text, by id first;
+    Earlier is a smaller id, or a smaller place in the same text.  ``texts``: number of each row's text; rows come by id, text and place;
     ``before``: the bytes before the key, last one first, and ``behind`` those behind it; ``left`` and ``room``: how many of
     them belong to the text.
     """
@@ -173,9 +173,9 @@ def repeated_windows(
         fits = np.flatnonzero((left >= r) & (room >= SIDE - r))
         if len(fits):
             name = preceding[r][fits] * (len(groups) + 1) + following[SIDE - r][fits]
-            by = np.lexsort((at[fits], texts[fits], name))
-            row = fits[by]
-            new = np.append(True, name[by][1:] != name[by][:-1])
+            # the row below the name, in one number: a sort keeps the rows' order and needs no places; n ** 3 < 2 ** 63
+            name, row = np.divmod(np.sort(name * len(groups) + fits), len(groups))
+            new = np.append(True, name[1:] != name[:-1])
             least = ids[row[new]][np.cumsum(new) - 1]
             own = np.append(False, ~new[1:] & (texts[row][1:] == texts[row][:-1]))  # the row before is in the same text
             out[row[own | (ids[row] > least)], r] = True
@@ -268,13 +268,12 @@ def _sort_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     held: list[pa.RecordBatch] = []
 
     def done(rows: pa.Table) -> pa.RecordBatch:
-        key, ids, twins, at, left, room = (rows.column(c).to_numpy() for c in ("key", "id", "twin", "at", "left", "room"))
-        sides = np.frombuffer(b"".join(rows.column("sides").to_pylist()), np.uint8).reshape(len(rows), 2 * SIDE)
+        by = np.lexsort([rows.column(c).to_numpy() for c in ("at", "twin", "id")])
+        key, ids, twins, at, left, room = (rows.column(c).to_numpy()[by] for c in ("key", "id", "twin", "at", "left", "room"))
+        sides = np.frombuffer(b"".join(rows.column("sides").to_pylist()), np.uint8).reshape(len(rows), 2 * SIDE)[by]
         groups = np.unique(key, return_inverse=True)[1]
-        texts = np.empty(len(rows), np.int64)
-        by = np.lexsort((twins, ids))
-        texts[by] = np.cumsum(np.append(0, (ids[by][1:] != ids[by][:-1]) | (twins[by][1:] != twins[by][:-1])))
-        return _spans(ids, twins, texts, at, repeated_windows(groups, ids, texts, at, sides[:, :SIDE], sides[:, SIDE:], room, left))
+        texts = np.cumsum(np.append(0, (ids[1:] != ids[:-1]) | (twins[1:] != twins[:-1])))
+        return _spans(ids, twins, texts, at, repeated_windows(groups, ids, texts, sides[:, :SIDE], sides[:, SIDE:], room, left))
 
     def flush(last: bool) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(held)
