@@ -24,7 +24,8 @@ from chatterlake.llm.storage import stored
 LIMIT = 18  # bits; at least the logarithm of the number of ids in use
 BLOCK = 512
 CHUNK_IDS = 1 << 19
-CACHED_PIECES = 300_000  # of each of two generations
+CACHED_PIECES = 1_500_000  # of about 50 bytes each
+CACHED_BYTES = 64  # of a piece, at most
 JOINED_BYTES = 1 << 16
 
 
@@ -71,39 +72,40 @@ def tokenizer(path: str):
     return loaded[path]
 
 
-def _encode_pieces(pieces: list[bytes], path: str, kind: np.dtype) -> list[bytes]:
-    """The ids of each piece.  Pieces that may stand behind each other in a text are encoded as one text.
+def _ranges(firsts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of runs that begin at ``firsts``, one run after the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(firsts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
 
-    Those begin with white space and end without; the ids' lengths in bytes tell them apart again.
+
+def _encode_pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, path: str, kind: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, and where among them each piece's begin and how many they are.
+
+    Pieces that may stand behind each other in a text are encoded as one text: those that begin with white
+    space and end without.  The ids' lengths in bytes tell them apart again.
     """
     encoder = tokenizer(path)
     size = _token_bytes(path)
-    joined, alone, group, held = [], [], [], 0
-    for i, piece in enumerate(pieces):
-        if piece[0] in b" \t\n\v\f\r" and 32 < piece[-1] < 127:
-            group.append(i)
-            held += len(piece)
-            if held >= JOINED_BYTES:
-                joined.append(group)
-                group, held = [], 0
-        else:
-            alone.append(i)
-    if group:
-        joined.append(group)
-    texts = [b"".join([pieces[i] for i in g]).decode() for g in joined] + [pieces[i].decode() for i in alone]
-    out: list[bytes] = [b""] * len(pieces)
-    found = encoder.encode_batch_fast(texts, add_special_tokens=False)
-    for group, got in zip(joined, found):
-        ids = np.array(got.ids, kind)
-        ends = np.cumsum([len(pieces[i]) for i in group])
-        cuts = np.searchsorted(np.cumsum(size[ids]), ends) + 1
-        raw, width, start = ids.tobytes(), kind.itemsize, 0
-        for i, end in zip(group, cuts.tolist()):
-            out[i] = raw[start * width : end * width]
-            start = end
-    for i, got in zip(alone, found[len(joined) :]):
-        out[i] = np.array(got.ids, kind).tobytes()
-    return out
+    last = data[ends - 1]
+    joins = arrays.is_space(data)[starts] & (last > 32) & (last < 127)
+    joined, alone = np.flatnonzero(joins), np.flatnonzero(~joins)
+    lengths = ends - starts
+    text = data[_ranges(starts[joined], lengths[joined])]
+    upto = np.cumsum(lengths[joined])
+    cuts = np.append(np.flatnonzero(np.diff(upto // JOINED_BYTES, prepend=-1)), len(joined)) if len(joined) else np.zeros(1, np.int64)
+    groups = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
+    begin = lambda i: int(upto[i - 1]) if i else 0
+    texts = [text[begin(i) : begin(j)].tobytes().decode() for i, j in groups]
+    texts += [data[i:j].tobytes().decode() for i, j in zip(starts[alone].tolist(), ends[alone].tolist())]
+    found = [np.array(got.ids, kind) for got in encoder.encode_batch_fast(texts, add_special_tokens=False)]
+    n = np.empty(len(starts), np.int64)
+    for (i, j), ids in zip(groups, found):
+        n[joined[i:j]] = np.diff(np.searchsorted(np.cumsum(size[ids]), upto[i:j] - begin(i)) + 1, prepend=0)
+    n[alone] = [len(ids) for ids in found[len(groups) :]]
+    order = np.append(joined, alone)
+    firsts = np.empty(len(starts), np.int64)
+    firsts[order] = np.cumsum(n[order]) - n[order]
+    return np.concatenate([*found, np.zeros(0, kind)]), firsts, n
 
 
 def _token_bytes(path: str) -> np.ndarray:
@@ -115,12 +117,72 @@ def _token_bytes(path: str) -> np.ndarray:
     return sizes[path]
 
 
+class Known:
+    """Pieces with their ids, as arrays: 64-bit hashes in rising order lead to them, and their bytes confirm them.
+
+    At most ``CACHED_PIECES``.  When they would be more, those go that were not asked for again since they came or
+    since the last time; of the others the younger half of the room stays.
+    """
+
+    def __init__(self, kind: np.dtype):
+        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.text, self.text_at = np.zeros(0, np.uint8), np.zeros(1, np.int64)
+        self.ids, self.ids_at = np.zeros(0, kind), np.zeros(1, np.int64)
+        self.used = np.zeros(0, bool)
+
+    def find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The number of each piece among those known, or -1."""
+        out = np.full(len(starts), -1)
+        if len(self.keys) and len(starts):
+            at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+            slot, lengths = self.slot[at], ends - starts
+            hit = np.flatnonzero((self.keys[at] == hashes) & (self.text_at[slot + 1] - self.text_at[slot] == lengths))
+            slot, lengths = slot[hit], lengths[hit]
+            same = data[_ranges(starts[hit], lengths)] == self.text[_ranges(self.text_at[slot], lengths)]
+            whole = np.logical_and.reduceat(same, np.cumsum(lengths) - lengths) if len(hit) else np.zeros(0, bool)
+            out[hit[whole]] = slot[whole]
+            self.used[slot[whole]] = True
+        return out
+
+    def add(self, data, starts, ends, hashes, ids, firsts, n) -> None:
+        """New pieces; of equal hashes one, and long ones not at all."""
+        short = np.flatnonzero(ends - starts <= CACHED_BYTES)
+        keys, first = np.unique(hashes[short], return_index=True)
+        at = np.searchsorted(self.keys, keys)
+        new = (self.keys[np.minimum(at, len(self.keys) - 1)] != keys) if len(self.keys) else np.ones(len(keys), bool)
+        keys, take = keys[new][:CACHED_PIECES], short[first[new]][:CACHED_PIECES]
+        if len(self.used) + len(take) > CACHED_PIECES:
+            self._shrink(CACHED_PIECES - len(take))
+        number = len(self.used) + np.arange(len(take))
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.slot = np.insert(self.keys, at, keys), np.insert(self.slot, at, number)
+        lengths = (ends - starts)[take]
+        self.text = np.append(self.text, data[_ranges(starts[take], lengths)])
+        self.text_at = np.append(self.text_at, self.text_at[-1] + np.cumsum(lengths))
+        self.ids = np.append(self.ids, ids[_ranges(firsts[take], n[take])])
+        self.ids_at = np.append(self.ids_at, self.ids_at[-1] + np.cumsum(n[take]))
+        self.used = np.append(self.used, np.zeros(len(take), bool))
+
+    def _shrink(self, room: int) -> None:
+        keep = np.flatnonzero(self.used)
+        room = min(room, CACHED_PIECES // 2)
+        keep = keep[len(keep) - min(room, len(keep)) :]
+        number = np.full(len(self.used), -1)
+        number[keep] = np.arange(len(keep))
+        stays = number[self.slot] >= 0
+        self.keys, self.slot = self.keys[stays], number[self.slot[stays]]
+        for name in ("text", "ids"):
+            values, at = getattr(self, name), getattr(self, f"{name}_at")
+            lengths = np.diff(at)[keep]
+            setattr(self, name, values[_ranges(at[:-1][keep], lengths)])
+            setattr(self, f"{name}_at", np.append(0, np.cumsum(lengths)))
+        self.used = np.zeros(len(keep), bool)
+
+
 def encode(texts: pa.Array, path: str, end_id: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     """All ids, with the end id after each text, and the texts' bounds among them.
 
-    Each distinct piece of a slice is encoded once.  A worker keeps two generations of up to ``CACHED_PIECES``
-    for its next texts: a piece that is used again moves to the younger one, and when that is full the older
-    one goes, so frequent pieces stay.
+    Each distinct piece of a slice is looked up once, and encoded if the worker does not know it from its earlier slices.
     """
     data, offsets = arrays.texts_and_bytes(texts)
     starts = _pieces(data, offsets)
@@ -129,33 +191,25 @@ def encode(texts: pa.Array, path: str, end_id: int, width: int) -> tuple[np.ndar
         pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))]
     ).dictionary_encode()
     kind = np.dtype(f"<u{width}")
-    kept = arrays.worker_cache(f"pieces of {path} in {width} bytes")
-    young, old = kept.setdefault("young", {}), kept.setdefault("old", {})
-    distinct = pieces.dictionary.to_pylist()
-    coded = [young.get(p) for p in distinct]
-    absent = [i for i, c in enumerate(coded) if c is None]
-    unknown = []
-    for i in absent:
-        coded[i] = old.get(distinct[i])
-        if coded[i] is None:
-            unknown.append(i)
-    for i, ids in zip(unknown, _encode_pieces([distinct[i] for i in unknown], path, kind)):
-        coded[i] = ids
-    for at in range(0, len(absent), CACHED_PIECES):
-        some = absent[at : at + CACHED_PIECES]
-        if len(young) + len(some) > CACHED_PIECES:
-            kept["old"], kept["young"] = young, (young := {})
-        young.update((distinct[i], coded[i]) for i in some)
-    coded.append(np.array([end_id], kind).tobytes())
-    flat = np.frombuffer(b"".join(coded), kind)
-    lengths = np.array([len(c) // width for c in coded], np.int64)
-    firsts = np.cumsum(lengths) - lengths
+    cache = arrays.worker_cache(f"pieces of {path} in {width} bytes")
+    known = cache.setdefault("known", Known(kind))
+    text, text_bounds = arrays.texts_and_bytes(pieces.dictionary)
+    begin, end = text_bounds[:-1], text_bounds[1:]
+    hashes = arrays.span_hashes(text, begin, end)
+    slot = known.find(text, begin, end, hashes)
+    new, old = np.flatnonzero(slot < 0), np.flatnonzero(slot >= 0)
+    ids, new_firsts, new_lengths = _encode_pieces(text, begin[new], end[new], path, kind)
+    # the end id, the new pieces' ids and those of the others, one behind the other
+    lengths, firsts = np.ones(len(slot) + 1, np.int64), np.zeros(len(slot) + 1, np.int64)
+    lengths[new], firsts[new] = new_lengths, new_firsts + 1
+    lengths[old], firsts[old] = (known.ids_at[slot[old] + 1] - known.ids_at[slot[old]]), known.ids_at[slot[old]] + 1 + len(ids)
+    flat = np.concatenate([np.array([end_id], kind), ids, known.ids])
+    known.add(text, begin[new], end[new], hashes[new], ids, new_firsts, new_lengths)
     text_starts = np.searchsorted(starts, offsets)  # among the pieces
-    which = np.insert(pieces.indices.to_numpy().astype(np.int64), text_starts[1:], len(distinct))
+    which = np.insert(pieces.indices.to_numpy().astype(np.int64), text_starts[1:], len(slot))
     n = lengths[which]
     sums = np.concatenate([[0], np.cumsum(n)])
-    out = flat[np.repeat(firsts[which] - sums[:-1], n) + np.arange(sums[-1])]
-    return out, sums[text_starts + np.arange(len(text_starts))]
+    return flat[_ranges(firsts[which], n)], sums[text_starts + np.arange(len(text_starts))]
 
 
 # --- the code -----------------------------------------------------------------------------------
