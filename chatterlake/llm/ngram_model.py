@@ -37,8 +37,8 @@ TASK_GRAMS = 500_000  # counts that a task holds before it hands them on
 BROADCAST_IDS = 1_000_000
 PRIOR_SYMBOLS = 60  # symbols at the language's median that each text's own are averaged with
 QUANTILE = 0.99  # of the held-out trusted texts about 1 in 100 is above a language's limits, and 1 below
-LEAST_TEXTS = 50  # held-out trusted texts that a quantile needs
-FEW_QUANTILE, FEW_SPREAD = 0.95, 4.0  # with fewer texts in all, limits are so many times as far from the median as this quantile
+PRIOR_TEXTS = 10  # held-out texts of all languages that a language's own are averaged with
+WIDER = 5  # a limit from n texts, those included, lies 1 + WIDER / n times as far from the median as their quantile; 30 normal values need 1.14
 HELD_OUT = 5  # of the trusted texts one in so many, by a hash of the key, sets limits instead of training
 
 
@@ -268,10 +268,11 @@ def judged(
     ``trusted``: the keys of the trusted documents, under the same name.  Most train the model, the
     others set each language's limits: the upper and lower ``quantile`` of their rates.  A text outside
     them is rejected.  Short texts say little, so each rate, also those that set the limits, is averaged
-    with ``PRIOR_SYMBOLS`` symbols at the language's median.  A language of fewer than ``LEAST_TEXTS``
-    held-out texts takes the limits of all texts together; null is a language of its own.  If all
-    together are fewer, the quantile cannot be told, and the limits lie ``FEW_SPREAD`` times as far from
-    the median as the ``FEW_QUANTILE``.
+    with ``PRIOR_SYMBOLS`` symbols at the language's median.  One rule holds for any number of texts: a
+    language's median and quantiles, from its n held-out texts, are averaged with those of all texts at
+    weights n and ``PRIOR_TEXTS``, and as the quantile of few texts lies too near, its distance from the
+    median is taken ``1 + WIDER / (n + PRIOR_TEXTS)`` times.  With many texts this is the language's own
+    quantile; a language without any has the limits of all.  Null is a language of its own.
 
     Texts without words, null ones too, cannot be judged and are kept, with no perplexity; so are all
     texts if nothing is trusted.  Rows that share a key count as one document, and those without a
@@ -290,23 +291,30 @@ def judged(
     base = found.where("NOT trains AND rate IS NOT NULL")
     places = lambda c, *at: F.percentile_approx(c, list(at), 10_000)
     averaged = lambda middle: (F.col("cost") + PRIOR_SYMBOLS * middle) / (F.col("symbols") + PRIOR_SYMBOLS)
-    medians = base.groupBy("lang").agg(F.percentile_approx("rate", 0.5, 10_000).alias("middle"), F.count("*").alias("n"))
-    medians = stored(medians.where(F.col("n") >= LEAST_TEXTS).select(F.col("lang").alias("__lang"), "middle"), "medians")
+    row = base.agg(F.percentile_approx("rate", 0.5, 10_000).alias("middle")).first()
+    general = None
+    if row["middle"] is not None:
+        general = [row["middle"], *base.agg(places(averaged(F.lit(row["middle"])), 1 - quantile, quantile)).first()[0]]
+    mixed = lambda own, i: (F.col("n") * own + PRIOR_TEXTS * F.lit(general[i])) / (F.col("n") + PRIOR_TEXTS)
+    no_limit = F.lit(None).cast("array<double>")
+    limits = base.groupBy("lang").agg(F.percentile_approx("rate", 0.5, 10_000).alias("own"), F.count("*").alias("n"))
+    limits = limits.select(F.col("lang").alias("__lang"), "n", (mixed(F.col("own"), 0) if general else F.lit(0.0)).alias("middle"))
+    limits = stored(limits, "medians")
     own_median = F.col("lang").eqNullSafe(F.col("__lang"))
-    limits = base.join(F.broadcast(medians), own_median).groupBy("__lang", "middle")
-    limits = stored(limits.agg(places(averaged(F.col("middle")), 1 - quantile, quantile).alias("q")), "limits")
-    limits = limits.select("__lang", F.array(F.get("q", 0), F.col("middle"), F.get("q", 1)).alias("own"))
-
-    row = base.agg(places("rate", 1 - FEW_QUANTILE, 0.5, FEW_QUANTILE).alias("q"), F.count("*").alias("n")).first()
-    general = F.lit(None).cast("array<double>")
-    if row["n"]:
-        low, middle, high = row["q"]
-        if row["n"] >= LEAST_TEXTS:
-            low, high = base.agg(places(averaged(F.lit(middle)), 1 - quantile, quantile)).first()[0]
-        else:
-            low, high = (middle + FEW_SPREAD * (x - middle) for x in (low, high))
-        general = F.array(*[F.lit(x) for x in (low, middle, high)])
-    out = found.join(F.broadcast(limits), own_median, "left").withColumn("q", F.coalesce("own", general))
+    tails = base.join(F.broadcast(limits), own_median).groupBy("__lang", "middle", "n")
+    tails = stored(tails.agg(places(averaged(F.col("middle")), 1 - quantile, quantile).alias("q")), "limits")
+
+    def widened(low: Column, middle: Column, high: Column, n: Column) -> Column:
+        factor = 1 + WIDER / (n + PRIOR_TEXTS)
+        return F.array(middle + factor * (low - middle), middle, middle + factor * (high - middle))
+
+    if general:
+        own = widened(mixed(F.get("q", 0), 1), F.col("middle"), mixed(F.get("q", 1), 2), F.col("n"))
+        no_limit = widened(*[F.lit(general[i]) for i in (1, 0, 2)], F.lit(0))
+        tails = tails.select("__lang", own.alias("own"))
+    else:
+        tails = tails.select("__lang", no_limit.alias("own"))
+    out = found.join(F.broadcast(tails), own_median, "left").withColumn("q", F.coalesce("own", no_limit))
     low, middle, high = (F.get("q", i) for i in range(3))
     rate = averaged(middle)
     inside = (rate <= high) & (rate >= low)
