@@ -30,26 +30,27 @@ def files_by_encoding(spark: SparkSession, path: str) -> dict[bool, list[str]]:
     return files
 
 
-def typed(df: DataFrame, schema: StructType | str | None = None) -> DataFrame:
+def typed(df: DataFrame, schema: StructType | str | None = None, beside: tuple[str, ...] = ()) -> DataFrame:
     """Text columns with null literals as null, cast to ``schema``, or to the narrowest type that fits all.
 
     Nulls are found before types, so ``NaN`` in a number column is null.  A cell that does not fit the
     schema is null.  Without a schema, one pass over the cells finds which of whole numbers, numbers
-    and truth values hold for all of a column.
+    and truth values hold for all of a column.  The columns ``beside`` come first and stay as they are.
     """
     df = null_literals(df)
     if schema:
         wanted = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-        return df.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in wanted])
+        return df.select(*beside, *[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in wanted])
+    names = [c for c in df.columns if c not in beside]
     misfits = [
         F.count(F.when(F.col(c).isNotNull() & F.col(c).try_cast(kind).isNull(), 1)).alias(f"{i}_{kind}")
-        for i, c in enumerate(df.columns)
+        for i, c in enumerate(names)
         for kind in INFERRED
     ]
-    filled = [F.count(F.col(c)).alias(f"{i}_filled") for i, c in enumerate(df.columns)]
+    filled = [F.count(F.col(c)).alias(f"{i}_filled") for i, c in enumerate(names)]
     found = df.agg(*filled, *misfits).first()
     kinds = {}
-    for i, c in enumerate(df.columns):
+    for i, c in enumerate(names):
         fits = [kind for kind in INFERRED if found[f"{i}_filled"] and not found[f"{i}_{kind}"]]
         if fits:
             kinds[c] = F.col(c).cast(fits[0])
@@ -67,8 +68,8 @@ def read_csv(
     """CSV rows; null literals are null; ``columns`` must be present.
 
     Without ``encoding`` each file is UTF-8 if all its lines are, else GB18030.  All files are read as
-    text and typed together.  A file with quoted line breaks cannot be split, so very large inputs
-    should come as many files, or with ``multi_line=False``.
+    text and typed together.  Here a file with quoted line breaks is read by one task; ``csv_splits``
+    has a reader for large ones.
     """
 
     def read(paths: list[str], charset: str) -> DataFrame:
