@@ -55,6 +55,9 @@ def posts_sql(select: str, *parts: str) -> str:
 
 # --- scans and cleaning -----------------------------------------------------------------------
 ORACLES["scan_posts"] = posts_sql("SELECT * FROM posts")
+_nulls = words_in(fv.NULL_LITERALS)
+_read_back = ", ".join(f"CASE WHEN {c} NOT IN {_nulls} THEN {c} END AS {c}" for c in ("content", "lang", "source"))
+ORACLES["csv_by_splits"] = posts_sql(f"SELECT post_id, {_read_back} FROM posts")
 ORACLES["preview"] = posts_sql("SELECT * FROM posts ORDER BY post_id LIMIT 5")
 _cells = ", ".join(quoted(v) for v in (*fv.NULL_LITERALS, " NA", "na", "Null"))
 ORACLES["null_literals"] = f"""

@@ -28,6 +28,7 @@ from chatterlake.operators import (
 )
 from chatterlake.plans.fixtures import as_posts, comments, posts, table
 from chatterlake.session import shared_folder
+from chatterlake.sources import csv_splits
 from chatterlake.sources import tables as sources
 from chatterlake.sources.words import word_table
 from chatterlake.streaming import scoring
@@ -39,6 +40,7 @@ WINDOW_WORDS = ("and", "das", "der", "et", "goal", "ist", "les", "of", "que", "t
 USER_WORDS = ("世界杯", "比赛", "足球", "足球比赛", "非常精彩")
 SYSTEM_TEXT = "Give the mood of the text as label,score."
 LIST_SIZE = fv.COHERENCE_TOP_WORDS
+CSV_SPLIT_BYTES = 1 << 20
 
 
 def query(function: Query) -> Query:
@@ -70,6 +72,17 @@ def null_literals(spark, sf_dir):
     return sources.null_literals(docs.select("doc_id", cell.alias("cell")))
 
 
+@query
+def csv_by_splits(spark, sf_dir):
+    """Posts written as CSV, line breaks and quotes within cells too, and read back by byte ranges."""
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    rows = posts(spark, sf_dir, ("post_id", "content", "lang", "source"))
+    kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    rows.write.options(header=True, escape='"', quoteAll=True, **kept).csv(path)
+    schema = "post_id bigint, content string, lang string, source string"
+    return csv_splits.read_large_csv(spark, path, schema, split_bytes=CSV_SPLIT_BYTES)
+
+
 @query
 def clean_posts(spark, sf_dir):
     rows = posts(spark, sf_dir, ("content", "lang", "source", "posted_at", "sentiment", "score"))
