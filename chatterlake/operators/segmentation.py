@@ -2,37 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatterlake.functions import fixed_values as fv
 from chatterlake.functions.tokens import RUNS, is_cjk, segment, two_char_tokens
+from chatterlake.operators import trie
 from chatterlake.operators.lookup import lookup
 
-
-def cut_run(run: str, words: frozenset[str], longest: int) -> list[str]:
-    """Cuts one Chinese run; characters between matches form overlapping two-character tokens."""
-    tokens: list[str] = []
-    rest_from = at = 0
-
-    def flush(end: int) -> None:
-        rest = run[rest_from:end]
-        tokens.extend([rest] if len(rest) == 1 else [rest[i : i + 2] for i in range(len(rest) - 1)])
-
-    while at < len(run):
-        size = next((n for n in range(min(longest, len(run) - at), 0, -1) if run[at : at + n] in words), 0)
-        if size:
-            flush(at)
-            tokens.append(run[at : at + size])
-            at += size
-            rest_from = at
-        else:
-            at += 1
-    flush(len(run))
-    return tokens
+TRIE_CHARS = 32_000_000  # sent to each worker as at most 9 bytes each
 
 
 def _usable(dictionary: DataFrame) -> DataFrame:
@@ -48,21 +27,26 @@ def with_tokens(
 ) -> DataFrame:
     """Adds ``tokens``; all methods give the same ones.  The caller names how the dictionary travels.
 
-    "set": as a set in each Python worker, for dictionaries that fit there; "pattern": as one regular
-    expression inside the JVM, for a few words; "join": dealt out, for dictionaries of any size.
+    "set": as a trie of arrays in each Python worker, for dictionaries of up to ``TRIE_CHARS``
+    characters, larger ones are joined; "pattern": as one regular expression inside the JVM, for a few
+    words; "join": dealt out, for dictionaries of any size.
     """
     usable = _usable(dictionary)
-    if method == "join":
+    if method == "join" or (method == "set" and _characters(usable) > TRIE_CHARS):
         return _by_join(df, text, usable)
-    words = [r.word for r in usable.collect()]
-    if not words:
+    words = usable.toArrow()["word"].combine_chunks()
+    if not len(words):
         return df.withColumn("tokens", segment(text))
-    return {"pattern": _by_pattern, "set": _by_set}[method](df, text, words)
+    return {"pattern": _by_pattern, "set": _by_trie}[method](df, text, words)
 
 
-def _by_pattern(df: DataFrame, text: str, words: list[str]) -> DataFrame:
+def _characters(words: DataFrame) -> int:
+    return words.agg(F.sum(F.length("word"))).first()[0] or 0
+
+
+def _by_pattern(df: DataFrame, text: str, words: pa.Array) -> DataFrame:
     """Alternatives are tried in order, so the longest word of a position must come first."""
-    listed = "|".join(sorted(words, key=lambda w: (-len(w), w)))
+    listed = "|".join(sorted(words.to_pylist(), key=lambda w: (-len(w), w)))
 
     def cut(run: Column) -> Column:
         # matches are set apart by marks, which a run of letters cannot contain
@@ -85,18 +69,12 @@ def _by_pattern(df: DataFrame, text: str, words: list[str]) -> DataFrame:
     )
 
 
-def _by_set(df: DataFrame, text: str, words: list[str]) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast((frozenset(words), max(map(len, words))))
+def _by_trie(df: DataFrame, text: str, words: pa.Array) -> DataFrame:
+    shared = df.sparkSession.sparkContext.broadcast(trie.Trie.of(words))
 
-    @F.pandas_udf("array<string>")
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known, longest = shared.value
-        for runs in batches:
-            yield runs.map(
-                lambda rs: None
-                if rs is None
-                else [t for r in rs for t in (cut_run(r, known, longest) if r >= "一" else [r])]
-            )
+    @F.arrow_udf("array<string>")
+    def cut(runs: pa.Array) -> pa.Array:
+        return trie.cut_lists(runs, ord("一"), shared.value)
 
     return df.withColumn("tokens", cut(F.regexp_extract_all(text, F.lit(RUNS), F.lit(1))))
 
