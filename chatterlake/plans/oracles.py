@@ -69,6 +69,12 @@ ORACLES["clean_posts"] = posts_sql(_clean)
 _ranked = """first AS (SELECT *, row_number() OVER (PARTITION BY content ORDER BY post_id) AS rn
   FROM posts WHERE content IS NOT NULL)"""
 ORACLES["dedupe_by_text"] = posts_sql("SELECT post_id, content, lang, source FROM first WHERE rn = 1", _ranked)
+_placed = "placed AS (SELECT *, row_number() OVER (ORDER BY post_id) - 1 AS position FROM posts)"
+_first_placed = """first AS (SELECT *, row_number() OVER (PARTITION BY content ORDER BY position) AS rn
+  FROM placed WHERE content IS NOT NULL)"""
+ORACLES["first_without_key"] = posts_sql(
+    "SELECT content, lang, source, position FROM first WHERE rn = 1", _placed, _first_placed
+)
 ORACLES["parse_time"] = posts_sql(
     f"SELECT post_id, strftime({TIME}, '%Y-%m-%d %H:%M:%S') AS at, CAST({TIME} AS DATE) AS day FROM posts"
 )

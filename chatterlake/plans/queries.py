@@ -16,6 +16,7 @@ from chatterlake.operators import (
     cooccurrence,
     enrichment,
     label_counts,
+    ranking,
     resuming,
     routing,
     segmentation,
@@ -28,7 +29,7 @@ from chatterlake.operators import (
 )
 from chatterlake.plans.fixtures import as_posts, comments, posts, table
 from chatterlake.session import shared_folder
-from chatterlake.sources import csv_splits
+from chatterlake.sources import csv_splits, row_ids
 from chatterlake.sources import tables as sources
 from chatterlake.sources.words import word_table
 from chatterlake.streaming import scoring
@@ -96,6 +97,17 @@ def dedupe_by_text(spark, sf_dir):
     )
 
 
+@query
+def first_without_key(spark, sf_dir):
+    """Posts stored without their key, in its order: the first of each text, and its place among all rows."""
+    path = f"{shared_folder(spark)}/keyless-{uuid.uuid4().hex}"
+    rows = posts(spark, sf_dir, ("post_id", "content", "lang", "source"))
+    rows = rows.repartitionByRange("post_id").sortWithinPartitions("post_id").drop("post_id")
+    rows.write.parquet(path)
+    placed = ranking.numbered(row_ids.read_table_with_ids(spark, path), "row_id", into="position").drop("row_id")
+    return cleaning.first_per_text(placed, "content", "position")
+
+
 @query
 def parse_time(spark, sf_dir):
     parsed = times.parse_time("posted_at")
