@@ -109,7 +109,23 @@ def _per_text(values: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(text, weights=values, minlength=n).astype(np.int64)
 
 
-def judge(ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+def _without(data: np.ndarray, offsets: np.ndarray, lines: tuple[np.ndarray, ...], gone: np.ndarray) -> pa.Array:
+    """The texts made up of the lines that are not ``gone``; all lines are given, in order."""
+    starts, ends, text = lines
+    edge = np.zeros(len(data) + 2, np.int64)
+    np.add.at(edge, starts[gone], 1)
+    np.add.at(edge, np.minimum(ends[gone] + 1, offsets[1:][text[gone]]), -1)  # with the line break, if one follows
+    stays = np.cumsum(edge)[: len(data)] == 0
+    left = np.flatnonzero(~gone)
+    last = left[np.append(text[left][1:] != text[left][:-1], True)] if len(left) else left
+    stays[ends[last[ends[last] < offsets[1:][text[last]]]]] = False  # no line follows the last one any more
+    bounds = _running(stays)[offsets]
+    kept = pa.py_buffer(np.ascontiguousarray(data[stays]))
+    return pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(bounds), kept).cast(pa.string())
+
+
+def judge(ids: pa.Array, texts: pa.Array) -> tuple[pa.RecordBatch, tuple]:
+    """Counts and verdicts, and what ``_without`` needs to remove the lines that fail."""
     words = arrays.split_words(texts)
     data, offsets, n = words.data, words.offsets, len(texts)
     of_words = np.diff(words.bounds)
@@ -119,7 +135,7 @@ def judge(ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
     upper, lower = _running(_UPPER[data]), _running(_LOWER[data])
     between = lambda sums, a, b: sums[b] - sums[a]
 
-    starts, ends, text = _lines(data, offsets)
+    starts, ends, text = lines = _lines(data, offsets)
     first, last = np.searchsorted(words.starts, starts), np.searchsorted(words.starts, ends)
     filled = last > first
     starts, ends, text, first, last = (x[filled] for x in (starts, ends, text, first, last))
@@ -141,6 +157,8 @@ def judge(ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
     }
     bad = np.logical_or.reduce(list(failed.values())) if len(text) else np.zeros(0, bool)
     lost = _per_text(line_chars * bad, text, n)
+    gone = np.zeros(len(filled), bool)
+    gone[filled] = bad
 
     same = _names(text, _line_names(data, starts, ends))
     n_dup = _per_text(np.ones(len(text)), text, n)
@@ -155,7 +173,8 @@ def judge(ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
     columns += [_per_text(np.ones(len(text)), text, n), _per_text(bad, text, n), lost]
     columns += [_per_text(failed[r], text, n) for r in RULES]
     names = ["doc_id", *COUNTS, "base_failed", "kept", "n_lines", "n_bad_lines", "lost_chars", *[f"n_{r}" for r in RULES]]
-    return pa.RecordBatch.from_arrays([ids, *[pa.array(c) for c in columns]], names)
+    counts = pa.RecordBatch.from_arrays([ids, *[pa.array(c) for c in columns]], names)
+    return counts, (data, offsets, lines, gone)
 
 
 def _line_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -166,7 +185,18 @@ def _line_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in arrays.slices(batch, "text"):
-            yield judge(part.column("doc_id"), part.column("text"))
+            yield judge(part.column("doc_id"), part.column("text"))[0]
+
+
+def _cleaned_batches(text: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in arrays.slices(batch, text):
+                counts, parts = judge(pa.nulls(len(part), pa.int64()), part.column(text))
+                part = part.set_column(part.schema.get_field_index(text), text, _without(*parts))
+                yield part.filter(counts.column("kept"))
+
+    return run
 
 
 def quality(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -177,3 +207,13 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(_batches, SCHEMA).withColumnRenamed("doc_id", key)
+
+
+def cleaned(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns, their texts without the lines that fail.
+
+    Lines are judged first and removed with their line breaks; rows that lose too much or fail the base
+    rules, which are those of the whole text, are left out.  Lines without a word stay.  Null and empty texts
+    fail the base rules.  Rows that repeat or have no key stay as many as they are; no rows give no rows.
+    """
+    return docs.mapInArrow(_cleaned_batches(text), docs.schema)

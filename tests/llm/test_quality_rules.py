@@ -50,3 +50,23 @@ def test_lines_fail_by_rule(spark):
 
 def test_no_rows(spark):
     assert q.quality(frame(spark, [])).collect() == []
+
+
+def test_cleaned_texts_lack_the_lines_that_fail(spark):
+    clean = [sentence(i) for i in range(6)]
+    texts = [r[1] for r in near_copies(12)] + [
+        "\n".join([*clean[:3], "Read more", "", *clean[3:]]), "\n".join(["Read more", *clean, "", "Log in", "Log in"]),
+        "\n".join([*clean, "end of it", " "]), "\n\n" + "\n".join(clean) + "\n\n", "\n".join([*clean, "世界 é", "x é."]), None, "", "\n", "cut",
+    ]
+    lines = sorted({x for t in texts if t for x in t.split("\n")})
+    bad = {lines[k] for k, r in verdict(spark, lines).items() if r.n_bad_lines}
+    kept = {k for k, r in verdict(spark, texts).items() if r.kept}
+    extra = spark.createDataFrame([(i, t, [i], "k") for i, t in enumerate(texts)], "doc_id long, text string, kept array<long>, n_lines string")
+    want = {i: "\n".join(x for x in texts[i].split("\n") if x not in bad) for i in kept}
+    got = q.cleaned(extra)
+    assert got.columns == extra.columns
+    rows = got.collect()
+    assert {r.doc_id: r.text for r in rows} == want and all(r.kept == [r.doc_id] and r.n_lines == "k" for r in rows)
+    n = len(texts)
+    assert {n - 9, n - 8, n - 7, n - 6, n - 5} <= kept and any(want[i] != texts[i] for i in kept)
+    assert q.cleaned(extra.limit(0)).collect() == []
