@@ -17,6 +17,7 @@ from chatterlake.llm.storage import stored
 
 DRAW_BITS = 60
 ROWS_PER_CELL = 20_000
+COPIES_AT_ONCE = 10_000  # places of equal rows that are listed together
 
 
 def _draw(key: Column, shard: int, weight: float) -> Column:
@@ -32,21 +33,29 @@ def shard_of(key: Column | str, weights: Mapping[int, float]) -> Column:
     return (F.least(*draws) if len(draws) > 1 else draws[0])["shard"]
 
 
-def numbered(rows: DataFrame, key: str, shard: str = "shard", slot: str = "slot", per_cell: int = ROWS_PER_CELL) -> DataFrame:
+def numbered(rows: DataFrame, key: str, shard: str = "shard", slot: str = "slot", per_cell: int | None = None) -> DataFrame:
     """Adds the place of each row within its shard, from 0 without gaps.
 
-    A shard is cut into cells by a hash of the key; the cells' counts give where each begins, and the
-    rows of a cell are numbered in key order.  A cell has ``per_cell`` rows on average at any size.
+    Equal rows are counted first and travel as one; their places follow each other.  A shard is cut into
+    cells by a hash of the whole row; the cells' counts give where each begins, and the distinct rows of a
+    cell are numbered by key, then by the other columns.  So a rerun gives each row the same place, also
+    where rows share a key or have none, and no cell grows with such rows.  A cell has ``per_cell``
+    distinct rows on average at any size.
     """
-    n_rows = rows.count()
-    n_cells = max(1, n_rows // (per_cell * max(1, rows.select(shard).distinct().count())))
-    celled = rows.withColumn("__cell", F.pmod(F.xxhash64(F.col(key)), F.lit(n_cells)))
-    counts = celled.groupBy(shard, "__cell").agg(F.count("*").alias("__n"))
+    per_cell = per_cell or ROWS_PER_CELL
+    order = [key, *[c for c in rows.columns if c != key]]
+    distinct = stored(rows.groupBy(*order).agg(F.count("*").alias("__n")), "distinct-rows")
+    n_cells = max(1, distinct.count() // (per_cell * max(1, distinct.select(shard).distinct().count())))
+    celled = distinct.withColumn("__cell", F.pmod(F.xxhash64(*order), F.lit(n_cells)))
+    counts = celled.groupBy(shard, "__cell").agg(F.sum("__n").alias("__rows"))
     before = Window.partitionBy(shard).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = stored(counts.select(shard, "__cell", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start")), "cells")
-    place = F.row_number().over(Window.partitionBy(shard, "__cell").orderBy(key))
-    placed = celled.withColumn("__place", place).join(starts, [shard, "__cell"])
-    return placed.withColumn(slot, F.col("__start") + F.col("__place") - 1).select(*rows.columns, slot)
+    starts = stored(counts.select(shard, "__cell", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__start")), "cells")
+    earlier = F.sum("__n").over(Window.partitionBy(shard, "__cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    placed = celled.withColumn("__place", F.coalesce(earlier, F.lit(0))).join(starts, [shard, "__cell"])
+    first = F.col("__start") + F.col("__place")
+    placed = placed.withColumn("__from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1, F.lit(COPIES_AT_ONCE).cast("long"))))
+    last = F.least(F.col("__from") + COPIES_AT_ONCE, "__n") - 1
+    return placed.select(*rows.columns, F.explode(F.sequence(first + F.col("__from"), first + last)).alias(slot))
 
 
 def assign(
@@ -60,7 +69,8 @@ def assign(
     """key, size, text_crc32, law, shard, slot, grown_shard of every row.
 
     Size is the text's UTF-8 bytes plus 16; null text has none, its checksum is 0.  Rows with the same
-    key are in the same shard, each with a slot of its own.  No rows give no rows.
+    key are in the same shard, each with a slot of its own: by size and checksum of the text, rows that are
+    equal in these as they come.  No rows give no rows.
     """
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
     narrow = docs.select(

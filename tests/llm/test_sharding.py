@@ -39,6 +39,22 @@ def test_slots_over_many_cells(spark):
     assert sorted(r.slot for r in got) == list(range(5000))
 
 
+def test_reruns_agree_where_keys_repeat(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "COPIES_AT_ONCE", 7)
+    monkeypatch.setattr(sharding, "ROWS_PER_CELL", 5)
+    rows = [row(None, f"text {i % 40}") for i in range(60)] + [row(5, "copy")] * 100 + [row(i, "x" * (i % 3)) for i in range(50)]
+    weights = {0: 1.0, 1: 1.0}
+    runs = []
+    for pieces in (1, 7):
+        got = sharding.assign(frame(spark, rows).repartition(pieces), weights).collect()
+        assert len(got) == len(rows)
+        for s in weights:
+            here = sorted(r.slot for r in got if r.shard == s)
+            assert here == list(range(len(here)))
+        runs.append({(r.shard, r.slot): (r.doc_id, r.text_crc32) for r in got})
+    assert runs[0] == runs[1]
+
+
 def test_weights_and_no_rows(spark):
     df = spark.range(20000).select(sharding.shard_of("id", {0: 1.0, 1: 3.0, 2: 0.0}).alias("s"))
     n = {r.s: r["count"] for r in df.groupBy("s").count().collect()}
