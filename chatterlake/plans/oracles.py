@@ -369,6 +369,11 @@ ORACLES["stream_scores"] = posts_sql(
     f"""SELECT post_id, CASE WHEN n % 11 = 0 THEN 'unknown' ELSE ['positive', 'negative', 'neutral'][n % 3 + 1] END AS sentiment,
   CASE WHEN n % 11 = 0 THEN 0.0 ELSE (n % 100) / 100.0::DOUBLE END AS score FROM (SELECT post_id, {_n} AS n FROM posts)"""
 )
+ORACLES["stream_answers"] = posts_sql(
+    f"""SELECT md5(content) AS request_key, CASE WHEN n % 11 > 0 THEN concat(['positive', 'negative', 'neutral'][n % 3 + 1], ',0.',
+    lpad(CAST(n % 100 AS STRING), 2, '0')) END AS reply, CASE WHEN n % 11 = 0 THEN 'TimeoutError' END AS error_type
+  FROM (SELECT DISTINCT coalesce(content, '') AS content, {_n} AS n FROM posts)"""
+)
 
 # --- bags and windows -------------------------------------------------------------------------
 TEXTS = f"""{_ranked},

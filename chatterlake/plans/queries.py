@@ -475,6 +475,17 @@ def stream_scores(spark, sf_dir):
     return spark.read.parquet(f"{run}/out").select("post_id", "sentiment", "score")
 
 
+@query
+def stream_answers(spark, sf_dir):
+    """One answer for each distinct text of the posts as they arrive; the stream's state knows the texts so far."""
+    docs = table(spark, sf_dir, "documents")
+    arriving = scoring.new_files(spark, f"{sf_dir}/documents.parquet*", docs.schema)
+    run = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    call = enrichment.each(_label_by_length)
+    scoring.answer_stream(as_posts(arriving, ("content",)), "content", call, f"{run}/answers", f"{run}/progress").awaitTermination()
+    return spark.read.parquet(f"{run}/answers").select("request_key", "reply", "error_type")
+
+
 def _translate_by_length(text: str) -> str:
     if len(text) % 5 == 0:
         raise ValueError(f"cannot translate: {text}")

@@ -222,6 +222,34 @@ def test_stream_scores_only_what_is_new(spark, tmp_path, hot_posts):
     assert asked(log) == sorted({c or "" for _, c in rows(hot_posts, "post_id")})
 
 
+def test_answer_stream_knows_earlier_texts_by_its_state(spark, tmp_path, hot_posts):
+    source, answers, log = tmp_path / "in", str(tmp_path / "answers"), tmp_path / "log"
+    log.mkdir()
+    state = []
+
+    def run():
+        stream = scoring.new_files(spark, str(source), "post_id long, content string", files_per_batch=1)
+        query = scoring.answer_stream(stream, "content", recording(log), answers, str(tmp_path / "progress"))
+        query.awaitTermination(120)
+        state.extend(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"])
+
+    hot_posts.where("post_id < 300").coalesce(2).write.parquet(str(source))
+    run()
+    hot_posts.where("post_id >= 300").coalesce(1).write.mode("append").parquet(str(source))
+    run()
+    run()
+    texts = {c or "" for _, c in rows(hot_posts, "post_id")}
+    assert asked(log) == sorted(texts) and state[-1] == len(texts)
+    assert spark.read.parquet(answers).count() == len(texts)
+
+    def never(_):
+        raise AssertionError("all texts are answered")
+
+    scored = enrichment.score_rows(hot_posts, "content", never, "post_id", path=answers)
+    plain = enrichment.score_rows(hot_posts, "content", recording(tmp_path), "post_id")
+    assert rows(scored, "post_id") == rows(plain, "post_id")
+
+
 def test_json_replies(spark):
     from chatterlake.functions import replies
 
