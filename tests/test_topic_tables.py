@@ -159,3 +159,28 @@ def test_old_tables_go(spark, texts):
 def test_no_texts(spark):
     none = spark.createDataFrame([([],), (None,)], "tokens array<string>")
     assert tt.sweep(none, (2, 3), passes=2).count() == 0
+
+
+def test_narrow_models_take_more_words_at_once():
+    """Small slices of narrow models spent most of an update on calls instead of numbers."""
+    import pyarrow as pa
+
+    texts = pa.RecordBatch.from_arrays([pa.array([bytes(8 * 500)] * 1000, pa.binary())], ["ids"])
+    width = sum(topics.fv.TOPIC_COUNTS)
+    assert len(list(tt._slices(texts, width))) > len(list(tt._slices(texts, 5))) == 1
+    for w in (5, width, 10 * width):
+        assert sum(map(len, tt._slices(texts, w))) == 1000
+
+
+def test_topics_do_not_follow_the_slices():
+    rng = np.random.default_rng(3)
+    layout, bounds = tt.Layout((2, 3)), np.cumsum([0, 4, 9, 5, 30, 1, 12])
+    beta, n = rng.random((40, 5)).astype(np.float32), len(bounds) - 1
+    local, counts = rng.integers(0, 40, bounds[-1]), rng.integers(1, 5, bounds[-1]).astype(np.float32)
+    start = np.ones((n, 5), np.float32)
+    gamma, theta, norm = tt.text_topics(layout, beta, local, counts, bounds, start)
+    for i in range(n):
+        a, b = bounds[i], bounds[i + 1]
+        alone = tt.text_topics(layout, beta, local[a:b], counts[a:b], np.array([0, b - a]), start[:1])
+        assert np.allclose(alone[0], gamma[i], atol=0.05) and np.allclose(alone[2], norm[a:b], rtol=0.02)
+        assert np.allclose(norm[a:b, 0], beta[local[a:b], :2] @ theta[i, :2], rtol=1e-4)
