@@ -14,9 +14,13 @@ from chatterlake.functions.text import clean_text
 from chatterlake.functions.tokens import segment
 from chatterlake.operators.resuming import with_result_columns
 from chatterlake.operators.splitting import is_pending
+from chatterlake.storage import stored
 
 FEATURES = 1 << 14
 MOST_ROWS = 200_000
+PIECES = 16  # of the rows that are fitted on
+PREFIX = 4  # hexadecimal digits of a hash by which rows are counted
+HASH, ROWS = "__hash", "__rows"
 TOKENS, TARGET, GUESS, CHANCE = "__tokens", "__target", "__guess", "__chance"
 
 
@@ -25,6 +29,43 @@ def _with_tokens(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn(TOKENS, segment(clean_text(F.coalesce(F.col(text), F.lit("")))))
 
 
+def _last(counted: DataFrame, most_rows: int) -> tuple[str, float, int] | None:
+    """Hash and target of the last of the first ``most_rows`` rows, and how many rows like it belong to them.
+
+    ``counted``: hash, target, rows.  The driver reads a sum for each prefix of the hashes, then the keys of one prefix.
+    """
+    prefix = F.substr(HASH, F.lit(1), F.lit(PREFIX))
+    left = most_rows
+    for part in sorted(counted.groupBy(prefix.alias("prefix")).agg(F.sum(ROWS).alias("n")).collect(), key=lambda r: r.prefix):
+        if part.n < left:
+            left -= part.n
+            continue
+        keys = counted.where(prefix == part.prefix).select(HASH, TARGET, ROWS).collect()
+        for row in sorted(keys):
+            if row[2] >= left:
+                return row[0], row[1], left
+            left -= row[2]
+    return None
+
+
+def smallest(known: DataFrame, text: str, most_rows: int) -> DataFrame:
+    """The ``most_rows`` rows (text, target) with the smallest hashes of their texts, dealt to ``PIECES`` parts in one order.
+
+    Only hashes are counted to find where these rows end.  Equal rows travel as one, so no task reads more than its part.
+    """
+    hashed = known.withColumn(HASH, F.md5(text))
+    last = _last(stored(hashed.groupBy(HASH, TARGET).agg(F.count("*").alias(ROWS)), "label-hashes"), most_rows)
+    n = F.col(ROWS)
+    if last:
+        at, target, left = last
+        is_last = (F.col(HASH) == at) & (F.col(TARGET) == target)
+        hashed = hashed.where((F.col(HASH) < at) | (F.col(HASH) == at) & (F.col(TARGET) <= target))
+        n = F.when(is_last, F.lit(left).cast("long")).otherwise(n)
+    once = hashed.groupBy(HASH, text, TARGET).agg(F.count("*").alias(ROWS)).withColumn(ROWS, n).where(F.col(ROWS) > 0)
+    dealt = once.repartition(PIECES, HASH).sortWithinPartitions(HASH, TARGET)
+    return dealt.withColumn(ROWS, F.explode(F.sequence(F.lit(1).cast("long"), ROWS))).select(text, TARGET)
+
+
 def fit_labels(
     rows: DataFrame, text: str, label: str = "sentiment", features: int = FEATURES, most_rows: int = MOST_ROWS
 ) -> PipelineModel:
@@ -36,7 +77,7 @@ def fit_labels(
     """
     target = F.array_position(F.array(*[F.lit(v) for v in fv.LABELS]), F.col(label)) - 1
     known = rows.where(F.col(label).isin(*fv.LABELS) & F.col(text).isNotNull()).select(text, target.cast("double").alias(TARGET))
-    bounded = known.orderBy(F.md5(text), TARGET).limit(most_rows)
+    bounded = smallest(known, text, most_rows)
     steps = [
         HashingTF(inputCol=TOKENS, outputCol="__counts", numFeatures=features),
         IDF(inputCol="__counts", outputCol="__weights"),

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from chatterlake.functions import fixed_values as fv
 from chatterlake.operators import sentiment
 
@@ -39,3 +41,17 @@ def test_own_results_stay_and_odd_rows_get_one(spark):
     assert (found[1].sentiment, found[1].score) == ("negative", 0.1)
     assert all(r.sentiment in fv.LABELS and 0 <= r.score <= 1 for r in found.values())
     assert found[4].sentiment == "positive"
+
+
+def test_rows_to_fit_on_are_dealt_out(spark):
+    """They came through one task, each with its text."""
+    rows = [(f"text {i % 40}", float(i % 3)) for i in range(300)] + [("many", 1.0)] * 50
+    known = spark.createDataFrame(rows, f"content string, {sentiment.TARGET} double").repartition(7)
+    ordered = known.orderBy(F.md5("content"), sentiment.TARGET)
+    for most in (1, 17, 200, 350, 1000):
+        found = sentiment.smallest(known, "content", most)
+        assert sorted(found.collect()) == sorted(ordered.limit(most).collect()), most
+        assert found.rdd.getNumPartitions() == sentiment.PIECES
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "TakeOrdered" not in plan and "SinglePartition" not in plan
+    assert sentiment.smallest(known.where("false"), "content", 5).count() == 0
