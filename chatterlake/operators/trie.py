@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHAR_BITS = 21
+SLICE_BYTES = 1 << 20
 
 
 def code_points(data: np.ndarray) -> np.ndarray:
@@ -134,7 +135,19 @@ def cut(runs: pa.Array, cuttable: int, trie: Trie) -> tuple[pa.Array, np.ndarray
 
 
 def cut_lists(lists: pa.Array, cuttable: int, trie: Trie) -> pa.Array:
-    """``cut`` for a column of lists of runs: one list of tokens per row, null for null."""
+    """``cut`` for a column of lists of runs: one list of tokens per row, null for null.
+
+    Rows are worked on in slices of about ``SLICE_BYTES`` of text, as a byte takes some hundred bytes of arrays.
+    """
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    upto = np.concatenate([[0], np.cumsum(pc.binary_length(lists.flatten()).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    ends = upto[np.cumsum(sizes, dtype=np.int64)]
+    cuts = [0, *(np.flatnonzero(np.diff(ends // SLICE_BYTES)) + 1), len(lists)]
+    parts = [_cut_slice(lists.slice(a, b - a), cuttable, trie) for a, b in zip(cuts, cuts[1:])]
+    return pa.concat_arrays(parts)
+
+
+def _cut_slice(lists: pa.Array, cuttable: int, trie: Trie) -> pa.Array:
     runs = lists.flatten()
     tokens, counts = cut(runs, cuttable, trie)
     per_row = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)

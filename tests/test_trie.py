@@ -51,3 +51,16 @@ def test_a_dictionary_beyond_the_bound_is_joined(spark, monkeypatch):
     here = segmentation.with_tokens(df, "c", words).orderBy("id").collect()
     monkeypatch.setattr(segmentation, "TRIE_CHARS", 5)
     assert segmentation.with_tokens(df, "c", words).orderBy("id").collect() == here
+
+
+def test_rows_are_cut_in_slices(monkeypatch):
+    """All rows of a batch together took some hundred bytes of arrays for each byte of text."""
+    rng = random.Random(5)
+    rows = [None if i % 7 == 0 else ["足球" * rng.randint(0, 20), "goal"][: rng.randint(0, 2)] for i in range(200)]
+    lists, built = pa.array(rows, pa.list_(pa.string())), trie.Trie.of(pa.array(["足球"]))
+    want = trie.cut_lists(lists, ord("一"), built)
+    sizes, cut = [], trie.cut
+    monkeypatch.setattr(trie, "SLICE_BYTES", 300)
+    monkeypatch.setattr(trie, "cut", lambda runs, *a: sizes.append(sum(map(len, runs.to_pylist())) * 3) or cut(runs, *a))
+    assert trie.cut_lists(lists.slice(3), ord("一"), built).to_pylist() == want.to_pylist()[3:]
+    assert len(sizes) > 10 and max(sizes) <= 300 + 140
