@@ -34,6 +34,18 @@ def worker_cache(name: str) -> dict:
     return holder.__dict__.setdefault(name, {})
 
 
+def release() -> None:
+    """Gives back what earlier tasks left in this process: long tables of powers, and pages that the allocators keep."""
+    import ctypes
+
+    worker_cache("powers").clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spreads each 64-bit value over all its bits (a bijection)."""
     x = (x ^ (x >> _U(32))) * _U(0xD6E8FEB86659FD93)

@@ -323,6 +323,7 @@ def _ids(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _encode_batches(path: str, end_id: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrays.release()  # a step before may have left much, and this one keeps its pieces
         for batch in batches:
             for part in arrays.slices(batch, "text", arrays.SLICE_BYTES // 2):
                 ids, bounds = encode(part.column("text"), path, end_id, width)

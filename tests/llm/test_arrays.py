@@ -41,3 +41,11 @@ def test_slices_hold_all_rows():
     parts = list(arrays.slices(batch, "text", 50))
     assert sum(map(len, parts)) == 7 and len(parts) > 1
     assert list(arrays.slices(batch.slice(0, 0), "text")) == []
+
+
+def test_release_gives_back_the_powers():
+    long = arrays.powers(3, 1 << 18).copy()
+    assert 3 in arrays.worker_cache("powers")
+    arrays.release()
+    assert not arrays.worker_cache("powers")
+    assert (arrays.powers(3, 1 << 18) == long).all()
