@@ -79,3 +79,46 @@ def test_rows_that_share_a_key(spark, monkeypatch, hot, rows_at_once):
     threes = [t for k, t in texts if k == 3]
     assert threes in ([f"x2\n{two} z"] * 2 + ["x1"], ["x1"] + [f"x2\n{two} z"] * 2, ["x2", "x2", f"{two}\nx1"], [f"{two}\nx1", "x2", "x2"])
     assert texts[-1] == (4, "x3")
+
+
+def stored_tables(monkeypatch):
+    seen = []
+
+    def keep(df, name, store=line_dedup.stored):
+        seen.append((name, store(df, name)))
+        return seen[-1][1]
+
+    monkeypatch.setattr(line_dedup, "stored", keep)
+    return seen
+
+
+def test_no_texts_are_stored(spark, monkeypatch):
+    seen = stored_tables(monkeypatch)
+    rows = made(5)
+    got = line_dedup.dedup_lines(frame(spark, rows))
+    assert {(r.doc_id, r.n_lines, r.n_removed, tuple(r.removed)) for r in got.collect()} == brute(rows)
+    assert seen and not [name for name, table in seen if "text" in table.columns]
+
+
+def test_long_lines_that_share_one_rare_word_are_not_compared(spark, monkeypatch):
+    """The picture does not fill up with the words of a long line."""
+    seen = stored_tables(monkeypatch)
+    rng = random.Random(9)
+    lines = [rng.sample([f"w{i}" for i in range(600)], 100) + [f"rare{k // 2}"] for k in range(60)]
+    rows = [row(k, " ".join(line)) for k, line in enumerate(lines)] + [row(99, " ".join(lines[7][1:]))]
+    found = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    assert [k for k, n in found.items() if n] == [99]
+    assert sum(table.count() for name, table in seen if name == "meetings") < 10
+
+
+def test_a_word_of_many_lines_is_not_copied_for_each_block(spark, monkeypatch):
+    for name, value in (("HOT_LIST", 3), ("HOT_CELL", 4)):
+        monkeypatch.setattr(line_dedup, name, value)
+    asked = []
+    dealt = line_dedup._dealt
+    monkeypatch.setattr(line_dedup, "_dealt", lambda hot, counts, every: asked.append((hot.count(), dealt(hot, counts, every).count())) or dealt(hot, counts, every))
+    base = [f"w{i}" for i in range(20)]
+    rows = [row(k, " ".join([*base[: k % 20], f"x{k % 7}", *base[k % 20 + 1 :]])) for k in range(200)]
+    got = line_dedup.dedup_lines(frame(spark, rows))
+    assert {(r.doc_id, r.n_lines, r.n_removed, tuple(r.removed)) for r in got.collect()} == brute(rows)
+    assert asked[0][0] == asked[0][1] > 200
