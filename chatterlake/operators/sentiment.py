@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+import math
+
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -17,11 +19,12 @@ from chatterlake.operators.splitting import is_pending
 from chatterlake.storage import stored
 
 FEATURES = 1 << 14
-MOST_ROWS = 200_000
-PIECES = 16  # of the rows that are fitted on
+PIECES = 16  # of the rows that are fitted on, at least
+ROWS_PER_PIECE = 12_500
+COPIES = 1_000  # equal rows that stay together
 PREFIX = 4  # hexadecimal digits of a hash by which rows are counted
 HASH, ROWS = "__hash", "__rows"
-TOKENS, TARGET, GUESS, CHANCE = "__tokens", "__target", "__guess", "__chance"
+TOKENS, COUNTS, TARGET, GUESS, CHANCE = "__tokens", "__counts", "__target", "__guess", "__chance"
 
 
 def _with_tokens(df: DataFrame, text: str) -> DataFrame:
@@ -66,27 +69,43 @@ def smallest(known: DataFrame, text: str, most_rows: int) -> DataFrame:
     return dealt.withColumn(ROWS, F.explode(F.sequence(F.lit(1).cast("long"), ROWS))).select(text, TARGET)
 
 
+def dealt(known: DataFrame, text: str, counter: HashingTF) -> DataFrame:
+    """target and word counts of every row (text, target), in one order over parts that grow in number with the rows.
+
+    A text's words are counted and moved once for all its copies, which come apart again by ``COPIES``, so no part has all of a frequent text.
+    """
+    counted = counter.transform(_with_tokens(known.withColumn(HASH, F.md5(text)), text))
+    counted = counted.groupBy(HASH, TARGET).agg(F.first(COUNTS).alias(COUNTS), F.count("*").alias(ROWS))
+    counted = stored(counted, "label-words")
+    one = F.lit(1).cast("long")
+    groups = F.ceil(F.col(ROWS) / F.lit(COPIES))
+    n = counted.agg(F.sum(F.least(F.col(ROWS), F.lit(COPIES)) * groups)).first()[0] or 0
+    cut = counted.withColumn("__group", F.explode(F.sequence(one, groups)))
+    cut = cut.withColumn(ROWS, F.least(F.col(ROWS) - (F.col("__group") - 1) * COPIES, F.lit(COPIES).cast("long")))
+    placed = cut.repartition(max(PIECES, math.ceil(n / ROWS_PER_PIECE)), HASH, "__group").sortWithinPartitions(HASH, TARGET, "__group")
+    return placed.withColumn(ROWS, F.explode(F.sequence(one, ROWS))).select(TARGET, COUNTS)
+
+
 def fit_labels(
-    rows: DataFrame, text: str, label: str = "sentiment", features: int = FEATURES, most_rows: int = MOST_ROWS
+    rows: DataFrame, text: str, label: str = "sentiment", features: int = FEATURES, most_rows: int | None = None
 ) -> PipelineModel:
-    """The model of the rows with one of the known labels.
+    """The model of all rows with one of the known labels and a text.
 
-    Up to ``most_rows`` of them are fitted on, those with the smallest hashes of their texts: a bound of
-    the fit, which makes a pass over them for each of its steps.  Equal rows in any order give the
-    same model.
+    Only a caller who names ``most_rows`` has it fitted on that many, those with the smallest hashes of their
+    texts.  Equal rows in any order give the same model.
     """
     target = F.array_position(F.array(*[F.lit(v) for v in fv.LABELS]), F.col(label)) - 1
     known = rows.where(F.col(label).isin(*fv.LABELS) & F.col(text).isNotNull()).select(text, target.cast("double").alias(TARGET))
-    bounded = smallest(known, text, most_rows)
-    steps = [
-        HashingTF(inputCol=TOKENS, outputCol="__counts", numFeatures=features),
-        IDF(inputCol="__counts", outputCol="__weights"),
-        LogisticRegression(
-            featuresCol="__weights", labelCol=TARGET, predictionCol=GUESS, probabilityCol=CHANCE, rawPredictionCol="__raw",
-            family="multinomial", regParam=0.05, maxIter=20,
-        ),
-    ]
-    return Pipeline(stages=steps).fit(_with_tokens(bounded, text))
+    if most_rows is not None:
+        known = smallest(known, text, most_rows)
+    counter = HashingTF(inputCol=TOKENS, outputCol=COUNTS, numFeatures=features)
+    counts = dealt(known, text, counter)
+    weigher = IDF(inputCol=COUNTS, outputCol="__weights").fit(counts)
+    judge = LogisticRegression(
+        featuresCol="__weights", labelCol=TARGET, predictionCol=GUESS, probabilityCol=CHANCE, rawPredictionCol="__raw",
+        family="multinomial", regParam=0.05, maxIter=20,
+    )
+    return PipelineModel(stages=[counter, weigher, judge.fit(weigher.transform(counts))])
 
 
 def label_pending(df: DataFrame, model: PipelineModel, text: str) -> DataFrame:

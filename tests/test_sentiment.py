@@ -1,5 +1,6 @@
 import random
 
+from pyspark.ml.feature import HashingTF
 from pyspark.sql import functions as F
 
 from chatterlake.functions import fixed_values as fv
@@ -55,3 +56,23 @@ def test_rows_to_fit_on_are_dealt_out(spark):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "TakeOrdered" not in plan and "SinglePartition" not in plan
     assert sentiment.smallest(known.where("false"), "content", 5).count() == 0
+
+
+def test_all_rows_are_fitted_on(spark):
+    """The default was a bound of 200,000 rows."""
+    labels = F.array(*[F.lit(v) for v in fv.LABELS])
+    rows = spark.range(200_500).select(F.concat(F.lit("word "), F.col("id").cast("string")).alias("content"), F.get(labels, (F.col("id") % 3).cast("int")).alias("sentiment"))
+    model = sentiment.fit_labels(rows, "content", features=1 << 6)
+    assert model.stages[1].numDocs == 200_500
+
+
+def test_copies_of_a_text_come_apart_and_all_count(spark, monkeypatch):
+    monkeypatch.setattr(sentiment, "COPIES", 10)
+    monkeypatch.setattr(sentiment, "ROWS_PER_PIECE", 20)
+    rows = [("great win", 0.0)] * 405 + [("great win", 1.0)] * 10 + [(f"match {i}", 2.0) for i in range(50)]
+    known = spark.createDataFrame(rows, f"content string, {sentiment.TARGET} double")
+    counter = HashingTF(inputCol=sentiment.TOKENS, outputCol=sentiment.COUNTS, numFeatures=16)
+    parts = sentiment.dealt(known, "content", counter).rdd.glom().map(lambda p: [r[sentiment.TARGET] for r in p]).collect()
+    assert len(parts) >= 465 / 20
+    assert sorted(sum(parts, [])) == sorted(t for _, t in rows)
+    assert max(len(p) for p in parts) < 100
