@@ -1,6 +1,7 @@
 """The models as tables against a plain version of the same updates, and against the library's fit."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -184,3 +185,62 @@ def test_topics_do_not_follow_the_slices():
         alone = tt.text_topics(layout, beta, local[a:b], counts[a:b], np.array([0, b - a]), start[:1])
         assert np.allclose(alone[0], gamma[i], atol=0.05) and np.allclose(alone[2], norm[a:b], rtol=0.02)
         assert np.allclose(norm[a:b, 0], beta[local[a:b], :2] @ theta[i, :2], rtol=1e-4)
+
+
+def test_an_update_is_two_jobs_without_a_shuffle(spark, texts):
+    """Joins, shuffles and tables of all words took most of an update's time."""
+    models = tt.started(tt.corpus(texts, 30, 2), [3])
+    spark.sparkContext.setJobGroup("one update", "")
+    try:
+        tt.updated(models, 0, 1.0)
+        tracker = spark.sparkContext.statusTracker()
+        jobs = [tracker.getJobInfo(i) for i in tracker.getJobIdsForGroup("one update")]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [len(j.stageIds) for j in jobs] == [1, 1]
+
+
+def test_each_model_of_a_sweep_ends_alone():
+    """A text's topics in one model went on changing until those in all others stood still."""
+    rng = np.random.default_rng(5)
+    bounds = np.cumsum([0, 40, 9, 50, 30, 3, 12])
+    beta, n = rng.random((60, 25)).astype(np.float32) ** 8, len(bounds) - 1
+    local, counts = rng.integers(0, 60, bounds[-1]), rng.integers(1, 5, bounds[-1]).astype(np.float32)
+    start = np.ones((n, 25), np.float32)
+    both = tt.text_topics(tt.Layout((5, 20)), beta, local, counts, bounds, start)[0]
+    for k, part in ((5, slice(0, 5)), (20, slice(5, 25))):
+        alone = tt.text_topics(tt.Layout((k,)), np.ascontiguousarray(beta[:, part]), local, counts, bounds, start[:, part])[0]
+        assert np.allclose(both[:, part], alone, rtol=1e-5, atol=1e-6)
+
+
+def test_words_of_texts_are_not_rows_of_a_table(spark, documents, monkeypatch):
+    """A row for each text and word was written, and moved twice; a piece has a row for each of its own words."""
+    names = {}
+    kept = tt.stored
+    monkeypatch.setattr(tt, "stored", lambda df, name: names.setdefault(name, kept(df, name)))
+    tt.corpus(spark.createDataFrame([(d,) for d in documents], "tokens array<string>"), 1000, 1)
+    assert names["piece-words"].count() == len({w for d in documents for w in d}) + 1
+    assert set(names) == {"tokens", "piece-words", "word-counts", "terms"}
+
+
+def test_shuffles_go_when_a_table_is_written(spark):
+    from chatterlake.storage import Folder
+
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    files = lambda: {f for f in map(str, disk.getAllFiles().mkString("\n").split("\n")) if "shuffle_" in f}
+    before = files()
+    Folder.write(spark.range(1000).groupBy((F.col("id") % 7).alias("a")).count(), "grouped")
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before
+
+
+def test_fewer_words_than_parts(spark):
+    few = spark.createDataFrame([(["b", "a", "b"],), (["a"],)], "tokens array<string>")
+    models = tt.fitted(tt.corpus(few), [2], passes=2)
+    assert {r.word: round(r.mass) for r in tt.word_mass(models, 2).collect()} == {"a": 2, "b": 2}
+    assert tt.top_words(models, 4).count() == 4
+    none = tt.fitted(tt.corpus(few.where("false")), [2], passes=2)
+    assert none.rows.count() == tt.top_words(none, 4).count() == tt.word_mass(none, 2).count() == 0
